@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, chat, mixing, simhash
+from tidemark.llm import bpe, chat, mixing, simhash, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_source_mixing": mixing.op6_source_mixing,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_byte_bpe": bpe.op10_byte_bpe,
