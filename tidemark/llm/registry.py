@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, chat, mixing, simhash, toxicity
+from tidemark.llm import bpe, chat, media, mixing, simhash, topk, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op3_media_columns": media.op3_media_columns,
+    "op4_exact_top_k": topk.op4_exact_top_k,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_source_mixing": mixing.op6_source_mixing,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op4_exact_top_k": topk.ORACLE,
+}
