@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, chat, media, mixing, simhash, topk, toxicity
+from tidemark.llm import bpe, chat, html, media, mixing, simhash, topk, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
+    "op2_html_extraction": html.op2_html_extraction,
     "op3_media_columns": media.op3_media_columns,
     "op4_exact_top_k": topk.op4_exact_top_k,
     "op5_toxicity": toxicity.op5_toxicity,
