@@ -70,3 +70,16 @@ def sha256(data: bytes) -> str:
 def utf8(column: str = "text"):
     """The column as UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
+
+
+def publish(files, temporary: str, final: str) -> None:
+    """Give a finished file its name, in place of what another attempt of the task may have left there."""
+    from pyarrow.fs import FileType
+
+    try:
+        files.move(temporary, final)
+    except OSError:
+        if files.get_file_info(final).type == FileType.NotFound:
+            raise
+        files.delete_file(final)
+        files.move(temporary, final)

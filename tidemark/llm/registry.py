@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, chat, html, media, mixing, simhash, topk, toxicity
+from tidemark.llm import bpe, chat, html, media, mixing, simhash, token_counts, topk, toxicity, training_order
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_exact_top_k": topk.op4_exact_top_k,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_source_mixing": mixing.op6_source_mixing,
+    "op7_token_counts": token_counts.op7_token_counts,
+    "op8_training_order": training_order.op8_training_order,
     "op9_chat_formatting": chat.op9_chat_formatting,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
