@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from tidemark.llm.common import sha256, table
 
@@ -231,7 +232,7 @@ def encode(docs: DataFrame, keys: list[str], text: str = "text", path: str | Non
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names[:-1], "ids"])
 
     rows = docs.select(*keys, F.col(text).cast("binary").alias("__text"))
-    return rows.mapInArrow(run, rows.drop("__text").schema.add("ids", "array<int>"))
+    return rows.mapInArrow(run, rows.drop("__text").schema.add("ids", ArrayType(IntegerType())))
 
 
 def decode(tokens: DataFrame, keys: list[str], ids: str = "ids", path: str | None = None) -> DataFrame:
