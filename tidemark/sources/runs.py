@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 from functools import reduce
 
@@ -15,11 +16,14 @@ from tidemark.schema import OPS
 CHECKS = {"parquet.page.write-checksum.enabled": "true", "parquet.page.verify-checksum.enabled": "true"}
 
 
-def write_options(row_group_bytes: int, page_bytes: int, bloom: bool, keys: int | None = None) -> dict[str, str]:
-    """Options of the Parquet writer. Where the number of keys isn't known the filter adapts to it; else it takes a megabyte a file."""
+def write_options(row_group_bytes: int, page_bytes: int, bloom_bits: int, keys: int | None = None) -> dict[str, str]:
+    """Options of the Parquet writer. bloom_bits per key give the filter's error rate, 0 leaves it out.
+
+    Where the number of keys isn't known the filter adapts to it; else it would take a megabyte a file.
+    """
     out = {"parquet.block.size": str(row_group_bytes), "parquet.page.size": str(page_bytes), **CHECKS}
-    if bloom:
-        out |= {"parquet.bloom.filter.enabled#key": "true"} | ({"parquet.bloom.filter.expected.ndv#key": str(keys)} if keys else {"parquet.bloom.filter.adaptive.enabled": "true"})
+    if bloom_bits > 0:
+        out |= {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.fpp#key": f"{max(1e-6, math.exp(-bloom_bits * math.log(2) ** 2)):.7f}"} | ({"parquet.bloom.filter.expected.ndv#key": str(keys)} if keys else {"parquet.bloom.filter.adaptive.enabled": "true"})
     return out
 
 

@@ -31,7 +31,7 @@ from tidemark.sources.runs import CHECKS, delete, listing, read_runs, write_opti
 class Options:
     """memtable_bytes: when the table in memory is sealed. block_bytes: size of Parquet pages; row_group_bytes of row groups.
 
-    bloom: filters on keys. sync_writes: writes are on disk before they return. group_commit: one sync serves the
+    bloom_bits_per_key: filters on keys, 0 for none. sync_writes: writes are on disk before they return. group_commit: one sync serves the
     writers that wait together. auto_compaction and compaction_min_runs: merge neighbours in age as soon as so many
     are alike in size.
     """
@@ -39,7 +39,7 @@ class Options:
     memtable_bytes: int = 64 << 20
     block_bytes: int = 64 << 10
     row_group_bytes: int = 32 << 20
-    bloom: bool = True
+    bloom_bits_per_key: int = 10
     sync_writes: bool = True
     group_commit: bool = True
     auto_compaction: bool = True
@@ -250,7 +250,7 @@ class Store:
             return run
 
     def _parquet(self, keys: int | None = None) -> dict[str, str]:
-        return write_options(self.options.row_group_bytes, self.options.block_bytes, self.options.bloom, keys)
+        return write_options(self.options.row_group_bytes, self.options.block_bytes, self.options.bloom_bits_per_key, keys)
 
     def _commit(self, changed: Manifest) -> None:
         try:
