@@ -48,10 +48,11 @@ class _Maker:
         return self.r.choice([f' class="{name}"', f' id="{name}"', f' class="{name} {self.word()}"', f' class="{self.word()} {name}"'])
 
     def links(self, wrap: str, attrs: str, n: int) -> None:
-        self.out.append(f"<{wrap}{attrs}><ul>")
+        bare = wrap == "div" and attrs and self.r.random() < 0.3
+        self.out.append(f"<ul{attrs}>" if bare else f"<{wrap}{attrs}><ul>")
         for _ in range(n):
             self.block("li", self.words(1, 3), 0, inner='<a href="/x">{}</a>')
-        self.out.append(f"</ul></{wrap}>")
+        self.out.append("</ul>" if bare else f"</ul></{wrap}>")
 
     def aside(self, tag: str, names: list[str]) -> None:
         """Text that is no article, from a word to several sentences, so that length alone tells little."""
@@ -79,9 +80,10 @@ class _Maker:
             if tag == "ol":
                 self.block("li", self.sentences(1, 4), 0)
             else:
-                self.out.append(f"<div{self.named(COMMENTS) if self.r.random() < 0.5 else ''}>")
+                each = self.r.choice(["div", "div", "article"])
+                self.out.append(f"<{each}{self.named(COMMENTS) if self.r.random() < 0.5 else ''}>")
                 self.block("p", self.sentences(1, 5), 0)
-                self.out.append("</div>")
+                self.out.append(f"</{each}>")
         self.out.append(f"</{tag}>")
 
     def interruption(self) -> None:
@@ -140,6 +142,11 @@ class _Maker:
         self.out.append("<!DOCTYPE html><html><head><title>x</title><style>p{}</style></head><body>")
         if self.r.random() < 0.6:
             self.aside("header", HEADER)
+        elif self.r.random() < 0.5:
+            self.out.append("<header>")
+            self.block("h1", self.words(1, 4), 0)
+            self.links("nav", "", self.r.randint(1, 6))
+            self.out.append("</header>")
         if self.r.random() < 0.8:
             self.links("nav" if self.r.random() < 0.6 else "div", self.named(MENU) if self.r.random() < 0.6 else "", self.r.randint(1, 8)) if self.r.random() < 0.9 else self.aside("nav", MENU)
         for _ in range(self.r.randint(0, 2)):
