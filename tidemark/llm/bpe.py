@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from tidemark.llm.common import sha256, table
+from tidemark.llm.common import sha256, small_batches, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 WIDTHS = (6, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 96, 128, 192, 256)
 LONGEST = WIDTHS[-1]
 ROWS = 8192
-MOST_CACHED = 250_000
+MOST_CACHED = 100_000
 NONE = np.iinfo(np.int32).max
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Unicode's White_Space, as the split pattern's \s reads it; the standard library's own \s has four characters more.
@@ -210,26 +210,14 @@ def tokenizer(path: str | None = None, pattern: str | None = None) -> Tokenizer:
     return Tokenizer(path or public_tokenizers.path(VOCABULARY), pattern or public_tokenizers.PATTERN)
 
 
-def in_slices(texts: list[bytes | None], most: int = 1 << 21):
-    """Slices of a batch with about `most` bytes each (one text at least), so memory does not follow the batch size."""
-    at = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or b"")
-        if size >= most or i + 1 == len(texts):
-            yield at, i + 1
-            at, size = i + 1, 0
-
-
 def encode(docs: DataFrame, keys: list[str], text: str = "text", path: str | None = None) -> DataFrame:
     """keys and `ids`, the token ids of the whole text; null text has none."""
 
     def run(batches):
         coder = tokenizer(path)
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            for a, b in in_slices(texts):
-                ids = coder.encode_batch([(t or b"").decode("utf-8", "replace") for t in texts[a:b]])
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[:-1]), pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names[:-1], "ids"])
+        for batch in small_batches(batches, len(keys)):
+            ids = coder.encode_batch([(t or b"").decode("utf-8", "replace") for t in batch.column(len(keys)).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names[:-1], "ids"])
 
     rows = docs.select(*keys, F.col(text).cast("binary").alias("__text"))
     return rows.mapInArrow(run, rows.drop("__text").schema.add("ids", ArrayType(IntegerType())))
@@ -257,14 +245,12 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         coder = tokenizer(path)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in in_slices(texts):
-                ids = coder.encode_batch([(t or b"").decode("utf-8", "replace") for t in texts[a:b]])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(list(map(len, ids)), pa.int64()), pa.array([sha256(",".join(map(str, x)).encode()) for x in ids]), pa.array([sha256(coder.decode(x)) for x in ids])],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+        for batch in small_batches(batches, 1):
+            ids = coder.encode_batch([(t or b"").decode("utf-8", "replace") for t in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(list(map(len, ids)), pa.int64()), pa.array([sha256(",".join(map(str, x)).encode()) for x in ids], pa.string()), pa.array([sha256(coder.decode(x)) for x in ids], pa.string())],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, rows.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string"))

@@ -83,3 +83,22 @@ def publish(files, temporary: str, final: str) -> None:
             raise
         files.delete_file(final)
         files.move(temporary, final)
+
+
+def small_arrays(texts, most: int = 1 << 20):
+    """Slices of an Arrow array of strings or bytes, of about `most` bytes each; one long text may be more. Python objects are then made of a slice at a time."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    if len(texts):
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        edges = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // most)) + 1
+        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(texts)], strict=True):
+            yield a, texts.slice(a, b - a)
+
+
+def small_batches(batches, column: int, most: int = 1 << 20):
+    """Slices of record batches by the bytes of one of their columns."""
+    for batch in batches:
+        for a, part in small_arrays(batch.column(column), most):
+            yield batch.slice(a, len(part))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import html_pages
-from tidemark.llm.common import table
+from tidemark.llm.common import small_batches, table
 
 TRAINING_PAGES = 600
 
@@ -264,7 +264,7 @@ def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
     field = field or default_field()
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 2):
             texts = [main_text(h, field) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

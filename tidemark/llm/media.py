@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import small_batches, table
 
 UNIT = 64
 STORED_RATE, UP, DOWN = 16_000, 5, 8
@@ -152,7 +152,7 @@ def media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media (WAV), clips (an Arrow stream of fixed-shape tensors with time spans), segments (start_s, end_s)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             for i, text in enumerate(batch.column(1).to_pylist()):
                 stored = to_wav(pad(text or b""))
                 _, mels, spans = analyse(stored)
@@ -186,7 +186,7 @@ def features(docs: DataFrame) -> DataFrame:
     kinds = (("n_bytes", pa.int64(), "long"), ("payload_bytes", pa.int64(), "long"), ("payload_sha256", pa.string(), "string"), ("tail_crc32", pa.int64(), "long"), ("media_bytes", pa.int64(), "long"), ("media_sha256", pa.string(), "string"), ("feature", pa.string(), "string"))
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             made = [digest(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([m[i] for m in made], kind) for i, (_, kind, _) in enumerate(kinds))], names=["doc_id", *(k for k, _, _ in kinds)])
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import checkpoint, free_name, table
+from tidemark.llm.common import checkpoint, free_name, small_arrays, table
 
 SEED = 20_240_229
 WEIGHTS = (1, 2, 3)
@@ -34,7 +34,7 @@ _WORDS = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 @F.arrow_udf(LongType())
 def n_words(texts: pa.Array) -> pa.Array:
     """Runs of characters other than ASCII white space; null text has none."""
-    return pa.array([len(t.split()) if t else 0 for t in texts.cast(pa.binary()).to_pylist()], pa.int64())
+    return pa.array([len(t.split()) if t else 0 for _, part in small_arrays(texts.cast(pa.binary())) for t in part.to_pylist()], pa.int64())
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> list[Fraction]:

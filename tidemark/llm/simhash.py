@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import checkpoint, free_name, parallelism, table
+from tidemark.llm.common import checkpoint, free_name, parallelism, small_batches, table
 from tidemark.llm.components import connected_components
 
 SEED = 42
@@ -52,9 +52,11 @@ def fingerprint(text: bytes | None, shingle_words: int = SHINGLE_WORDS) -> int:
 def fingerprints(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """keys and `fp`, the fingerprint as a signed long, in one pass over whole texts."""
 
+    rows_at = len(keys)
+
     def run(batches):
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+        for batch in small_batches(batches, rows_at):
+            texts = batch.column(rows_at).to_pylist()
             fps = np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps)], names=[*batch.schema.names[:-1], "fp"])
 

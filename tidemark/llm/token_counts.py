@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.bpe import in_slices, tokenizer
-from tidemark.llm.common import filesystem, fresh_dir, parallelism, publish, table
+from tidemark.llm.bpe import tokenizer
+from tidemark.llm.common import filesystem, fresh_dir, parallelism, publish, small_batches, table
 
 #: The vocabulary file has 50,256 tokens and leaves this id free.
 END = 50_256
@@ -34,12 +34,10 @@ def write_flat(docs: DataFrame, out: str, path: str | None = None) -> None:
         name = f"part-{context.partitionId():06d}.bin"
         temporary, coder, at, held = f"{root}/tokens/.{name}-{context.taskAttemptId()}", tokenizer(path), 0, []
         with files.open_output_stream(temporary) as f:
-            for batch in batches:
-                ids, texts = batch.column(0), batch.column(1).to_pylist()
-                for a, b in in_slices(texts):
-                    coded = coder.encode_batch([(t or b"").decode("utf-8", "replace") for t in texts[a:b]])
-                    flat = [x for c in coded for x in (*c, END)]
-                    f.write(np.array(flat, DTYPE).tobytes())
+            for batch in small_batches(batches, 1):
+                ids = batch.column(0)
+                coded = coder.encode_batch([(t or b"").decode("utf-8", "replace") for t in batch.column(1).to_pylist()])
+                f.write(np.array([x for c in coded for x in (*c, END)], DTYPE).tobytes())
                 held.append(pa.RecordBatch.from_arrays([pa.array([name] * len(ids)), pa.array(np.arange(at, at + len(ids))), ids], names=["file", "ordinal", "doc_id"]))
                 at += len(ids)
         publish(files, temporary, f"{root}/tokens/{name}")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tidemark.llm.common import checkpoint, table
+from tidemark.llm.common import checkpoint, small_arrays, small_batches, table
 
 #: Labelled rows that the classifier is fitted on, the ones of least hash; the only bounded sample here.
 MOST_LABELS = 20_000
@@ -94,7 +94,7 @@ def features_of(word: str) -> list[str]:
 class Lexicon(dict):
     """Word to (class, weight), filled as words come; learned weights go before the lists above."""
 
-    MOST = 400_000
+    MOST = 100_000
 
     def __init__(self, weights: dict[str, float]):
         super().__init__()
@@ -219,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, mo
 
     def count(batches):
         seen: dict[str, list[int]] = {}
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own: set[str] = set()
                 for w in set(_TOKEN.findall(text.lower())):
@@ -227,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, mo
                         own.update(features_of(w))
                 for f in own:
                     seen.setdefault(f, [0, 0])[1 - y] += 1
-                if len(seen) > 300_000:
+                if len(seen) > 150_000:
                     yield _counts(seen)
                     seen = {}
         yield _counts(seen)
@@ -243,7 +243,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, mo
 
     def features(batches):
         own = {y: Lexicon(weights[y]) for y in (0, 1)}
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             ys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             if ys:
                 x = np.array([describe(t, own[y]) for y, t in zip(ys, texts, strict=True)])
@@ -268,7 +268,7 @@ def scorer(model: Model):
     def score(texts: pa.Array) -> pa.Array:
         if not kept:
             kept.append(Lexicon(model.weights))
-        x = np.array([describe(t or "", kept[0]) for t in texts.to_pylist()]).reshape(-1, N_FEATURES)
+        x = np.array([describe(t or "", kept[0]) for _, part in small_arrays(texts) for t in part.to_pylist()]).reshape(-1, N_FEATURES)
         return pa.array(model.scores(x))
 
     return score
