@@ -28,6 +28,8 @@ SHARDS = 64
 BLOCK_WORDS = 1024
 #: numpy draws from fewer than 10 ** 9 items; beyond this many blocks they become longer.
 MOST_BLOCKS = 500_000_000
+#: Tables with a row per source are broadcast up to so many rows, about 10 MB, and shuffled beyond.
+MOST_BROADCAST = 100_000
 _WORDS = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 
 
@@ -202,14 +204,15 @@ def apply(docs: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS,
     p = plan(sized, shards, block_words, seed)
     spark = docs.sparkSession
     of = [(s, n, q // n if n else 0, q % n if n else 0) for s, n, q in zip(p.sources, p.sizes, p.quotas, strict=True)]
-    quota = spark.createDataFrame(of, "q_source string, q_size long, q_full long, q_rest long")
+    per_source = F.broadcast if len(of) <= MOST_BROADCAST else lambda df: df
+    quota = per_source(spark.createDataFrame(of, "q_source string, q_size long, q_full long, q_rest long"))
     placed = checkpoint(positions(sized).join(quota, F.col("source").eqNullSafe(F.col("q_source"))))
     cut = placed.where("start < q_rest and start + size >= q_rest").select(F.col("q_source").alias("c_source"), F.col("place").alias("c_place"))
     shared = placed.join(cut, F.col("q_source").eqNullSafe(F.col("c_source")) & (F.col("place") == F.col("c_place")))
     shared = shared.groupBy("c_source", "c_place").agg((F.sum(F.greatest(F.lit(0), F.least("size", F.col("q_rest") - F.col("start")))) / F.count("*")).cast("long").alias("c_words"))
     rules = quota.join(checkpoint(shared), F.col("q_source").eqNullSafe(F.col("c_source")), "left").collect()
     name = {k: free_name(docs, f"tm_{k}") for k in ("source", "full", "place", "words", "take", "size")}
-    rule = spark.createDataFrame([(r["q_source"], r["q_full"], -1 if r["c_place"] is None else r["c_place"], r["c_words"] or 0) for r in rules], f"{name['source']} string, {name['full']} long, {name['place']} long, {name['words']} long")
+    rule = per_source(spark.createDataFrame([(r["q_source"], r["q_full"], -1 if r["c_place"] is None else r["c_place"], r["c_words"] or 0) for r in rules], f"{name['source']} string, {name['full']} long, {name['place']} long, {name['words']} long"))
     size, place = F.col(name["size"]), _hash(seed)
     rest = F.when(place < F.col(name["place"]), size).when(place == F.col(name["place"]), F.least(size, F.col(name["words"]))).otherwise(F.lit(0))
     takes = F.concat(F.array_repeat(size, F.col(name["full"]).cast("int")), F.filter(F.array(rest), lambda x: x > 0))
