@@ -114,7 +114,7 @@ def count(docs: DataFrame, path: str | None = None, block_bytes: int = BLOCK_BYT
     out = fresh_dir(spark, "flat")
     write_flat(docs, out, path)
     counts = scan_files(list_flat(spark, out), f"{out}/tokens", block_bytes=block_bytes)
-    return spark.read.parquet(f"{out}/order").join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal")
+    return spark.read.parquet(f"{out}/order").join(counts.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
