@@ -11,7 +11,6 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
