@@ -134,7 +134,7 @@ def _pieces(streams: DataFrame, plan: Layout, offsets: dict[int, tuple[int, int]
 
 
 def _shards(pieces: DataFrame, plan: Layout, root: str) -> DataFrame:
-    """Write the shards; (shard, first_slot, sequences, bytes) of each, once it has its name."""
+    """Write the shards, one a task; (shard, first_slot, sequences, bytes) of each, once it has its name."""
     width = np.dtype(plan.dtype).itemsize
     last = plan.sequences - 1
 
@@ -180,8 +180,8 @@ def _shards(pieces: DataFrame, plan: Layout, root: str) -> DataFrame:
         if f:
             yield close()
 
-    n = parallelism(pieces.sparkSession)
-    return pieces.repartition(n, "shard").sortWithinPartitions("slot", "at").mapInArrow(run, "shard long, first_slot long, sequences long, bytes long")
+    shards = max(1, -(-plan.sequences // plan.per_shard))
+    return pieces.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("slot", "at").mapInArrow(run, "shard long, first_slot long, sequences long, bytes long")
 
 
 def materialise(streams: DataFrame, out: str, length: int = LENGTH, key: int = KEY, dtype: str = "u1", end: int = END, shards: int = SHARDS) -> Layout:
