@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tidemark.llm import bpe, chat, html, html_pages, media, mixing, simhash, token_counts, topk, toxicity, training_order
+from tidemark.llm import bpe, chat, html, html_pages, media, mixing, simhash, similar, token_counts, topk, toxicity, training_order
 from tidemark.llm.common import fresh_dir
 from tidemark.llm.components import connected_components
 
@@ -160,6 +160,64 @@ def test_keep_one(spark):
     assert simhash.keep_one(docs_of(spark, [])).count() == 0
 
 
+def brute_similar(texts):
+    """Root of each text by five-word Jaccard of 0.8 or more, over all pairs."""
+    sets = []
+    for t in texts:
+        words = [w.lower() for w in split_words(t)]
+        sets.append({b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if (not a and not sets[j]) or 5 * both >= 4 * len(a | sets[j]) > 0:
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return [find(i) for i in range(len(texts))]
+
+
+def test_near_duplicate_stage_takes_similarity_of_four_fifths(spark):
+    r = random.Random(12)
+    base = [["w%d" % r.randrange(5000) for _ in range(120)] for _ in range(6)]
+    texts = TEXTS + [" ".join(b) for b in base]
+    for b in base:
+        for edits in (1, 2, 3, 4, 8):  # similarities from 0.92 down to under 0.6
+            made = list(b)
+            for at in range(edits):
+                made[5 + at * 13] = "edit%d" % r.randrange(10**6)
+            texts.append(" ".join(made))
+    chain = list(base[0])
+    for at in range(10, 110, 20):  # each near the one before, not near the first
+        chain[at] = chain[at + 5] = "link%d" % at
+        texts.append(" ".join(chain))
+    docs = docs_of(spark, texts)
+    roots = brute_similar(texts)
+    got = corpus_pipeline.without_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(x["doc_id"] for x in got.collect()) == sorted(set(roots))
+    assert len(set(roots)) < simhash.keep_one(docs).count()
+
+
+def test_block_is_searched_for_every_verified_pair():
+    r = random.Random(13)
+    words = [[b"%d" % r.randrange(999) for _ in range(60)] for _ in range(8)]
+    texts = [b" ".join(w[:k] + [b"x%d" % i] * (60 - k)) for i, w in enumerate(words * 4) for k in (60, 58, 57, 30)]
+    roots = brute_similar([t.decode() for t in texts])
+    sets = [similar.shingles(similar.words_of(t)) for t in texts]
+    for known in (np.arange(len(texts)), np.array([0 if x == roots[0] else 1000 + i for i, x in enumerate(roots)])):
+        now = known.tolist()
+        for a, b in similar.links_of_block(known, sets):
+            assert len(np.intersect1d(sets[a], sets[b])) * 5 >= 4 * len(np.union1d(sets[a], sets[b]))
+            now = [now[b] if x == now[a] else x for x in now]
+        assert len({*zip(now, roots, strict=True)}) == len(set(now)) == len(set(roots))
+
+
 # 2
 
 

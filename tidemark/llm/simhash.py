@@ -214,17 +214,15 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, pieces: int = PIE
     return each.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """docs with one document of each near-duplicate class, the one of smallest doc_id (null last); columns as given.
-
-    Among rows that share that doc_id one stays, by the least hash of the whole row; equal rows are one document.
-    """
+def marked_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a hash of each whole row, and the name of its column."""
     mark = free_name(docs, "tm_row")
-    marked = docs.withColumn(mark, F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns]))
-    each = fingerprints(marked.select("doc_id", "text", F.col(mark).alias("row")), ["doc_id", "row"])
-    each = checkpoint(each.groupBy("fp", "doc_id", "row").agg(F.count("*").alias("n")))
-    per = each.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "n")).alias("first"))
-    kept = per.join(classes(per, **how), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    return docs.withColumn(mark, F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])), mark
+
+
+def keep_first(docs: DataFrame, marked: DataFrame, mark: str, rooted: DataFrame) -> DataFrame:
+    """The first row of each class; rooted has root and first (none, doc_id, row, n)."""
+    kept = rooted.groupBy("root").agg(F.min("first").alias("first"))
     kept = checkpoint(kept.select(F.col("first.doc_id").alias("kept_id"), F.col("first.row").alias("kept_row"), F.col("first.n").alias("kept_n")))
     same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col(mark) == F.col("kept_row"))
     repeated = kept.where("kept_n > 1")
@@ -234,5 +232,17 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     return alone.unionByName(marked.join(repeated, same, "left_semi").dropDuplicates([mark])).select(*docs.columns)
 
 
+def keep_one(docs: DataFrame, **how) -> DataFrame:
+    """docs with one document of each near-duplicate class, the one of smallest doc_id (null last); columns as given.
+
+    Among rows that share that doc_id one stays, by the least hash of the whole row; equal rows are one document.
+    """
+    marked, mark = marked_rows(docs)
+    each = fingerprints(marked.select("doc_id", "text", F.col(mark).alias("row")), ["doc_id", "row"])
+    each = checkpoint(each.groupBy("fp", "doc_id", "row").agg(F.count("*").alias("n")))
+    per = each.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "n")).alias("first"))
+    return keep_first(docs, marked, mark, per.join(classes(per, **how), "fp"))
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
