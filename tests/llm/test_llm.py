@@ -493,6 +493,22 @@ def test_applied_mix_holds_what_was_taken(spark):
     assert mixing.apply(docs_of(spark, [], [(1, "a b c", "en", "x", 5)] * 3 + [(2, "d e f g", "en", "y", 7)])).count() > 0
 
 
+def test_mixing_stage_keeps_texts_whole(spark):
+    r = random.Random(9)
+    texts = ["\n".join(" ".join("w%d" % r.randrange(9) for _ in range(r.randrange(1, 30))) for _ in range(3)) for _ in range(60)] + [LONG]
+    docs = docs_of(spark, texts, [(1000 + i, " ".join(["few"] * (i + 1)), "en", f"small{i}", 4 * i + 3) for i in range(12)])
+    whole = {x["doc_id"]: x for x in docs.collect()}
+    got = defaultdict(list)
+    for x in corpus_pipeline.mixed(spark, docs, "").collect():
+        assert x == whole[x["doc_id"]]
+        got[x["source"]].append(x["doc_id"])
+    sizes = {k: len(split_words(x["text"])) for k, x in whole.items()}
+    order = sorted({x["source"] for x in whole.values()})
+    of = {s: [k for k, x in whole.items() if x["source"] == s] for s in order}
+    for s, target in zip(order, mixing.targets([sum(sizes[k] for k in of[s]) for s in order]), strict=True):
+        assert abs(sum(sizes[k] for k in got[s]) - target) <= max(sizes[k] for k in of[s]) / 2 + 1
+
+
 # 7, 8
 
 

@@ -194,9 +194,12 @@ def mix(docs: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS, s
     return _numbered(plan(sized, shards, block_words, seed), positions(sized), _taken_rows, "doc_id long, size long, source_size long, target double, taken long")
 
 
-def apply(docs: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+def apply(docs: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: int = SEED, whole: bool = False) -> DataFrame:
     """docs as mixed: a row for each time that a document is taken whole and, at the end of a source's quota, one with its first words.
 
+    With whole, that last document is taken whole where at least half of it is within the quota, and else not at all;
+    a source then misses its quota by half a document at most, or by half of each of the equal rows that stand there.
+
     Texts aren't shuffled: per source one place divides what the last pass takes from what it leaves. Where equal rows
     stand at that place they share its words evenly. Documents without words, of which the mix takes nothing, go.
     """
@@ -214,10 +217,15 @@ def apply(docs: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS,
     name = {k: free_name(docs, f"tm_{k}") for k in ("source", "full", "place", "words", "take", "size")}
     rule = per_source(spark.createDataFrame([(r["q_source"], r["q_full"], -1 if r["c_place"] is None else r["c_place"], r["c_words"] or 0) for r in rules], f"{name['source']} string, {name['full']} long, {name['place']} long, {name['words']} long"))
     size, place = F.col(name["size"]), _hash(seed)
-    rest = F.when(place < F.col(name["place"]), size).when(place == F.col(name["place"]), F.least(size, F.col(name["words"]))).otherwise(F.lit(0))
+    last = F.least(size, F.col(name["words"]))
+    if whole:
+        last = F.when(last * 2 >= size, size).otherwise(F.lit(0))
+    rest = F.when(place < F.col(name["place"]), size).when(place == F.col(name["place"]), last).otherwise(F.lit(0))
     takes = F.concat(F.array_repeat(size, F.col(name["full"]).cast("int")), F.filter(F.array(rest), lambda x: x > 0))
     out = docs.withColumn(name["size"], n_words("text")).where(size > 0).join(rule, F.col("source").eqNullSafe(F.col(name["source"])))
     out = out.withColumn(name["take"], F.explode(takes))
+    if whole:
+        return out.select(*[F.col(f"`{c}`") for c in docs.columns])
     cut_text = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(_WORDS), F.lit(0)), F.lit(1), F.col(name["take"]).cast("int")), "")
     part = F.col(name["take"]) < size
     return out.select(*[(F.when(part, cut_text).otherwise(F.col("text")).alias(c) if c == "text" else F.when(part, F.char_length(cut_text)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`")) for c in docs.columns])
