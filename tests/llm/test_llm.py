@@ -570,6 +570,20 @@ def test_training_order_round_trip(spark, tmp_path, monkeypatch, length, shards)
     assert training_order.order(docs.limit(0)).count() == 0
 
 
+def test_training_order_is_over_token_ids(spark, tmp_path):
+    odd(spark).select("text").coalesce(1).write.parquet(str(tmp_path / "in"))
+    docs = spark.read.parquet(str(tmp_path / "in"))
+    stream = []
+    for ids in bpe.tokenizer().encode_batch([x["text"] or "" for x in docs.collect()]):
+        stream += [*ids, token_counts.END]
+    flat = np.array(stream, "<u2")
+    rows = training_order.order(docs).collect()
+    assert sum(x["n_tokens"] for x in rows) == len(flat) and len(rows) == -(-len(flat) // 2048)
+    for x in rows:
+        part = flat[x["sequence"] * 2048 : (x["sequence"] + 1) * 2048]
+        assert x["n_tokens"] == len(part) and x["sha256"] == hashlib.sha256(part.tobytes()).hexdigest()
+
+
 # 9
 
 

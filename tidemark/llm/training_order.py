@@ -15,9 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import filesystem, fresh_dir, parallelism, publish, table
+from tidemark.llm import token_counts
+from tidemark.llm.bpe import tokenizer
+from tidemark.llm.common import checkpoint, filesystem, fresh_dir, parallelism, publish, small_batches, table
 
-#: Ids of the query: UTF-8 bytes, and a byte that no UTF-8 text has as the end. Any text comes back from them.
+#: Ids of byte_streams: UTF-8 bytes, and a byte that no UTF-8 text has as the end. Any text comes back from them.
 END = 0xFF
 LENGTH = 2048
 KEY = 0x5EED
@@ -247,14 +249,27 @@ def byte_streams(docs: DataFrame) -> DataFrame:
     return docs.select(F.concat(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), F.lit(bytes([END]))).alias("ids"))
 
 
+def token_streams(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """Token ids of the byte-level BPE and the end id, two bytes each; null text is an empty document."""
+
+    def run(batches):
+        coder = tokenizer(path)
+        for batch in small_batches(batches, 0):
+            coded = coder.encode_batch([(t or b"").decode("utf-8", "replace") for t in batch.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array([np.array((*c, token_counts.END), token_counts.DTYPE).tobytes() for c in coded], pa.binary())], names=["ids"])
+
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "ids binary")
+
+
 def order(docs: DataFrame, **how) -> DataFrame:
-    """slot, sequence, shard, n_tokens, sha256 of every sequence of docs, read back from the shards.
+    """slot, sequence, shard, n_tokens, sha256 of every sequence of docs' token ids, read back from the shards.
 
     Only text is read; null text counts as an empty document, repeated rows are documents of their own, and documents
-    of any length are taken whole. An empty table has no sequences. The shards stay in the shared folder.
+    of any length are taken whole. An empty table has no sequences. Texts are encoded once, into a checkpoint, since
+    the ids are read twice. The shards stay in the shared folder.
     """
     out = fresh_dir(docs.sparkSession, "order")
-    plan = materialise(byte_streams(docs), out, **how)
+    plan = materialise(checkpoint(token_streams(docs)), out, dtype=token_counts.DTYPE, end=token_counts.END, **how)
     return read_all(docs.sparkSession, out, plan)
 
 
