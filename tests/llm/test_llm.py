@@ -258,6 +258,18 @@ def test_extraction_of_one_page():
     assert html.main_text(PAGE, html.default_field()) == "Fish & chips!\nFirst bold line goes on.\nSecond <one> a b.\nQuoted words."
 
 
+def test_head_without_its_end_tag():
+    whole = [(b.path, b.text, b.linked) for b in html.leaf_blocks(PAGE)]
+    assert "</head>" in PAGE.lower() and whole
+    bare = PAGE.replace("</head>", "")
+    assert [(b.path, b.text, b.linked) for b in html.leaf_blocks(bare)] == whole
+    assert html.main_text(bare, html.default_field()) == html.main_text(PAGE, html.default_field())
+    start = "<html><head><title>Of <b>no</b> use</title><meta charset=utf-8><script>x</script>"
+    for body in ("<p>Seen.</p>", "<div><p>Seen.", "Seen.", "<a href=x>Seen.</a>", "<img src=x>Seen.", "<body class=a>Seen.", "</head>Seen."):
+        assert [b.text for b in html.leaf_blocks(start + body)] == ["Seen."], body
+    assert [b.text for b in html.leaf_blocks("<head><title>Never ended<body><p>Seen.")] == ["Seen."]
+
+
 def test_extraction_odd_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "u", ""), (3, "u", "<p"), (4, "u", "<a title='x>" * 50), (5, "u", "<article>" + "<p>long text here.</p>" * 3000)], "page_id long, url string, html string").withColumn("text", F.lit(1))
     got = html.extract(pages).collect()

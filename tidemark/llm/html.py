@@ -26,6 +26,8 @@ TRAINING_PAGES = 600
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe noframes xmp noembed svg math object".split())
+#: Open tags that an open head stays open at; any other, or text, begins the body.
+IN_HEAD = frozenset("base head html link meta noframes noscript script style template title".split())
 NO_TEXT = frozenset("head title select option optgroup textarea button datalist".split())
 CLOSES_P = BLOCKS - frozenset("body button caption dd dt fieldset head html label legend li optgroup option tbody td tfoot th thead tr".split())
 #: An opening tag closes these open ones, as far up as the named boundary.
@@ -67,8 +69,16 @@ def leaf_blocks(page: str) -> list[Block]:
             hidden -= tag in NO_TEXT
         del stack[i:]
 
+    def leave_head(tag):
+        """Its end tag may be left out. What stands in an open title is the title's, but for a body."""
+        i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "head"), -1)
+        if i >= 0 and (tag == "body" or not any(t == "title" for t, _ in stack[i + 1 :])):
+            pop_to(i)
+
     def text(a, b):
         nonlocal linked
+        if hidden and stack[-1][0] == "head" and page[a:b].strip():
+            leave_head("")
         if b > a and not hidden:
             part = page[a:b]
             held.append(part)
@@ -82,6 +92,8 @@ def leaf_blocks(page: str) -> list[Block]:
         if not tag:
             continue
         tag, closing, attrs = tag.lower(), m[1] or m[4], m[3] if m[2] else m[6]
+        if hidden and not closing and tag not in IN_HEAD:
+            leave_head(tag)
         if tag in RAW:
             if not closing and not (attrs or "").endswith("/"):
                 end = _END_OF_RAW[tag].search(page, at)
