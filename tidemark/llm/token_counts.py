@@ -13,13 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.bpe import tokenizer
+from tidemark.llm.bpe import AT_ONCE, tokenizer
 from tidemark.llm.common import filesystem, fresh_dir, parallelism, publish, small_batches, table
 
 #: The vocabulary file has 50,256 tokens and leaves this id free.
 END = 50_256
 DTYPE = "<u2"
 BLOCK_BYTES = 4 << 20
+#: Blocks whose prefix is reckoned in one task; the files' lengths of documents never pass a window.
+STRETCH = 4096
 
 
 def write_flat(docs: DataFrame, out: str, path: str | None = None) -> None:
@@ -32,16 +34,16 @@ def write_flat(docs: DataFrame, out: str, path: str | None = None) -> None:
         files, root = filesystem(out)
         files.create_dir(f"{root}/tokens", recursive=True)
         name = f"part-{context.partitionId():06d}.bin"
-        temporary, coder, at, held = f"{root}/tokens/.{name}-{context.taskAttemptId()}", tokenizer(path), 0, []
+        temporary, coder, at = f"{root}/tokens/.{name}-{context.taskAttemptId()}", tokenizer(path), 0
         with files.open_output_stream(temporary) as f:
-            for batch in small_batches(batches, 1):
-                ids = batch.column(0)
-                coded = coder.encode_batch([(t or b"").decode("utf-8", "replace") for t in batch.column(1).to_pylist()])
-                f.write(np.array([x for c in coded for x in (*c, END)], DTYPE).tobytes())
-                held.append(pa.RecordBatch.from_arrays([pa.array([name] * len(ids)), pa.array(np.arange(at, at + len(ids))), ids], names=["file", "ordinal", "doc_id"]))
-                at += len(ids)
+            for batch in small_batches(batches, 1, AT_ONCE):
+                ids, ends = coder.encode(batch.column(1))
+                f.write(np.insert(ids, ends[1:], END).astype(DTYPE).tobytes())
+                n = batch.num_rows
+                # a task whose file gets no name fails, and its rows are not kept
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(at, at + n)), batch.column(0)], names=["file", "ordinal", "doc_id"])
+                at += n
         publish(files, temporary, f"{root}/tokens/{name}")
-        yield from held  # after the file has its name; a row of these is a few bytes
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     rows.mapInArrow(run, "file string, ordinal long, doc_id long").write.parquet(f"{out}/order")
@@ -55,6 +57,25 @@ def scan_block(tokens: np.ndarray, end: int = END) -> tuple[int, int, int, np.nd
     return len(at), int(at[0]), len(tokens) - 1 - int(at[-1]), np.diff(at) - 1
 
 
+def _prefix(rows: DataFrame, by: list[str], at: str) -> DataFrame:
+    """Add `base`, the separators before a row, `carry`, the tokens of the document open at its start, and `opened`, whether any separator stands before."""
+    order = Window.partitionBy(*by).orderBy(at)
+    rows = rows.withColumn("run", F.sum((F.col("n") > 0).cast("long")).over(order))
+    rows = rows.withColumn("after", F.sum("tail").over(Window.partitionBy(*by, "run").orderBy(at)))
+    rows = rows.withColumn("carry", F.coalesce(F.lag("after").over(order), F.lit(0)))
+    rows = rows.withColumn("base", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return rows.withColumn("opened", F.col("run") > (F.col("n") > 0).cast("long"))
+
+
+def prefix_scan(blocks: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """(file, block, n, tail) to file, block, base, carry. Two levels, stretches of blocks and blocks within them, so no task has all blocks of a long file."""
+    inner = _prefix(blocks.withColumn("stretch", F.floor(F.col("block") / stretch)), ["file", "stretch"], "block")
+    whole = inner.groupBy("file", "stretch").agg(F.sum("n").alias("n"), F.max_by("after", "block").alias("tail"))
+    outer = _prefix(whole, ["file"], "stretch").select("file", "stretch", F.col("base").alias("base0"), F.col("carry").alias("carry0"))
+    carry = F.when(F.col("opened"), F.col("carry")).otherwise(F.col("carry0") + F.col("carry"))
+    return inner.join(outer, ["file", "stretch"]).select("file", "block", (F.col("base0") + F.col("base")).alias("base"), carry.alias("carry"))
+
+
 def scan_files(files: DataFrame, root: str, dtype: str = DTYPE, end: int = END, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """file, ordinal, n_tokens of every document in flat files.
 
@@ -78,12 +99,10 @@ def scan_files(files: DataFrame, root: str, dtype: str = DTYPE, end: int = END,
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block], pa.int32()), pa.array([n], pa.int64()), pa.array([head], pa.int64()), pa.array([tail], pa.int64()), pa.array([last]), pa.array([lengths], pa.list_(pa.int64()))], names=["file", "block", "n", "head", "tail", "last", "lengths"])
 
     seen = blocks.repartition(parallelism(spark), "file", "block").mapInArrow(run, "file string, block int, n long, head long, tail long, last boolean, lengths array<bigint>")
-    order = Window.partitionBy("file").orderBy("block")
-    seen = seen.withColumn("run", F.sum((F.col("n") > 0).cast("long")).over(order))
-    open_ = Window.partitionBy("file", "run").orderBy("block")
-    seen = seen.withColumn("after", F.sum("tail").over(open_))
-    seen = seen.withColumn("carry", F.coalesce(F.lag("after").over(order), F.lit(0)))
-    seen = seen.withColumn("base", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    kept = fresh_dir(spark, "blocks")
+    seen.write.parquet(kept)
+    seen = spark.read.parquet(kept)
+    seen = seen.join(prefix_scan(seen.select("file", "block", "n", "tail")), ["file", "block"])
     ended = F.when(F.col("n") > 0, F.concat(F.array(F.col("carry") + F.col("head")), F.col("lengths"))).otherwise(F.array().cast("array<bigint>"))
     left = F.when(F.col("n") > 0, F.col("tail")).otherwise(F.col("carry") + F.col("head"))
     rest = F.when(F.col("last") & (left > 0), F.array(left)).otherwise(F.array().cast("array<bigint>"))
