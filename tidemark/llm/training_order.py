@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import token_counts
-from tidemark.llm.bpe import tokenizer
-from tidemark.llm.common import checkpoint, filesystem, fresh_dir, parallelism, publish, small_batches, table
+from tidemark.llm.bpe import AT_ONCE, tokenizer
+from tidemark.llm.chunks import flat_bytes
+from tidemark.llm.common import filesystem, fresh_dir, parallelism, publish, small_batches, table
 
 #: Ids of byte_streams: UTF-8 bytes, and a byte that no UTF-8 text has as the end. Any text comes back from them.
 END = 0xFF
@@ -113,8 +114,7 @@ def _pieces(streams: DataFrame, plan: Layout, offsets: dict[int, tuple[int, int]
         part = TaskContext.get().partitionId()
         at, told = offsets.get(part, (0, 0))
         stop, permutation = at + told, plan.permutation()
-        for batch in batches:
-            held, size = [], 0
+        for batch in small_batches(batches, 0):
 
             def cut(at, data):
                 n = len(data) // width
@@ -125,17 +125,13 @@ def _pieces(streams: DataFrame, plan: Layout, offsets: dict[int, tuple[int, int]
                 parts = [pack(data[(a - at) * width : (b - at) * width]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
                 return pa.RecordBatch.from_arrays([pa.array(slot // plan.per_shard), pa.array(slot), pa.array((first - sequence * plan.length).astype(np.int32)), pa.array(parts, pa.binary())], names=["shard", "slot", "at", "data"])
 
-            for ids in batch.column(0).to_pylist():
-                held.append(ids)
-                size += len(ids)
-                if size >= 1 << 20:
-                    yield cut(at, b"".join(held))
-                    at, held, size = at + size // width, [], 0
-            if size:
-                yield cut(at, b"".join(held))
-                at += size // width
+            data = memoryview(flat_bytes(batch.column(0))[0])
+            for first in range(0, len(data), 1 << 20):
+                ids = data[first : first + (1 << 20)]
+                yield cut(at, ids)
+                at += len(ids) // width
         if at != stop:
-            raise RuntimeError(f"partition {part} held {at - stop} ids more than when it was counted; cut its lineage with a checkpoint first")
+            raise RuntimeError(f"partition {part} held {at - stop} ids more than when it was counted; read it from a written table instead")
 
     return streams.mapInArrow(run, "shard long, slot long, at int, data binary")
 
@@ -169,7 +165,7 @@ def _shards(pieces: DataFrame, plan: Layout, root: str) -> DataFrame:
 
         short = plan.permutation().slot(np.array([last]))[0] if last >= 0 else -1
         padding = np.full(plan.sequences * plan.length - plan.tokens, plan.end, plan.dtype).tobytes()
-        for batch in batches:
+        for batch in small_batches(batches, 3):
             for s, slot, at, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if s != shard:
                     if f:
@@ -254,9 +250,11 @@ def token_streams(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches):
         coder = tokenizer(path)
-        for batch in small_batches(batches, 0):
-            coded = coder.encode_batch([(t or b"").decode("utf-8", "replace") for t in batch.column(0).to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array([np.array((*c, token_counts.END), token_counts.DTYPE).tobytes() for c in coded], pa.binary())], names=["ids"])
+        for batch in small_batches(batches, 0, AT_ONCE):
+            ids, at = coder.encode(batch.column(0))
+            ids = np.insert(ids, at[1:], token_counts.END).astype(token_counts.DTYPE)
+            ends = (at + np.arange(len(at))) * ids.itemsize
+            yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(ids)]).cast(pa.binary())], names=["ids"])
 
     return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "ids binary")
 
@@ -265,12 +263,14 @@ def order(docs: DataFrame, **how) -> DataFrame:
     """slot, sequence, shard, n_tokens, sha256 of every sequence of docs' token ids, read back from the shards.
 
     Only text is read; null text counts as an empty document, repeated rows are documents of their own, and documents
-    of any length are taken whole. An empty table has no sequences. Texts are encoded once, into a checkpoint, since
-    the ids are read twice. The shards stay in the shared folder.
+    of any length are taken whole. An empty table has no sequences. Texts are encoded once, into a table beside the
+    shards, since the ids are read twice; both stay in the shared folder.
     """
-    out = fresh_dir(docs.sparkSession, "order")
-    plan = materialise(checkpoint(token_streams(docs)), out, dtype=token_counts.DTYPE, end=token_counts.END, **how)
-    return read_all(docs.sparkSession, out, plan)
+    spark = docs.sparkSession
+    out = fresh_dir(spark, "order")
+    token_streams(docs).write.option("compression", "zstd").parquet(f"{out}/ids")
+    plan = materialise(spark.read.parquet(f"{out}/ids"), out, dtype=token_counts.DTYPE, end=token_counts.END, **how)
+    return read_all(spark, out, plan)
 
 
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
