@@ -36,8 +36,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of rows that a JVM hands to Python at once; its vectors for them, which double as they grow, lie outside the heap.
+ARROW_BYTES = 4 << 20
+_BYTES_A_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, after bounding the session's Arrow batches by bytes: by default one may be of 64 MB, in every task at once."""
+    spark = df.sparkSession
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BYTES_A_BATCH))
+    if not 0 < now <= ARROW_BYTES:
+        spark.conf.set(_BYTES_A_BATCH, str(ARROW_BYTES))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def free_name(df: DataFrame, base: str) -> str:
