@@ -2,6 +2,10 @@
 
 import os
 import random
+import signal
+import subprocess
+import sys
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -194,7 +198,8 @@ def test_auto_compaction_merges_alike_neighbours(spark, tmp_path):
     with Store.open(spark, str(tmp_path / "s"), Options(compaction_min_runs=3)) as store:
         for i in range(3):
             store.write(frame(spark, [(b"%d-%d" % (i, j), b"v" * 20, j) for j in range(50)]), order_by="seq")
-        assert len(store.runs) == 1 and store.read().count() == 150
+        store.await_compactions()
+        assert len(store.runs) == 1 and store.read().count() == 150 and store.stats()["compactions"] == 1
 
 
 def test_scan_keeps_its_runs_and_close(spark, tmp_path):
@@ -204,6 +209,7 @@ def test_scan_keeps_its_runs_and_close(spark, tmp_path):
     rows = store.scan()
     store.compact_all()
     assert [k for k, _ in rows] == [b"0", b"1", b"2"]
+    assert store._leases == {}  # a scan that has ended holds nothing
     rows.close()
     rows.close()
     assert list(rows) == []
@@ -325,3 +331,203 @@ def test_bloom_filters_spare_row_groups(spark, tmp_path):
             read[bits] = scans[0].metrics().apply("numOutputRows").value()
             assert store.get(b"%016d" % 9_001) is None and store.get(b"%016d" % 9_000) is not None
     assert read[10] == 0 < read[0]
+
+
+def test_bulk_write_takes_nothing_that_would_be_lost(spark, tmp_path):
+    made = lambda *rows: spark.createDataFrame([(bytearray(k), None if v is None else bytearray(v), g, o) for k, v, g, o in rows], "key binary, value binary, is_delete boolean, at long")
+    with Store.open(spark, str(tmp_path / "s")) as store:
+        for rows, why in (([(b"a", b"1", False, None)], "null at"), ([(b"a", b"1", None, 1)], "null is_delete"), ([(b"a", b"1", False, 5), (b"a", b"2", False, 5)], "differ")):
+            with pytest.raises(Exception, match=why):
+                store.write(made(*rows), order_by="at")
+        store.write(made((b"a", b"1", False, 5), (b"a", b"2", False, 6), (b"b", None, True, 5), (b"c", b"", False, 1), (b"c", b"", False, 1)), order_by="at")
+        assert pairs(store.read()) == {b"a": b"2", b"c": b""}
+
+
+def test_puts_before_and_after_a_bulk_write(spark, tmp_path):
+    with Store.open(spark, str(tmp_path / "s"), Options(auto_compaction=False)) as store:
+        store.put(b"a", b"old")
+        store.put(b"b", b"old")
+        store.write(frame(spark, [(b"a", b"bulk", 1)]))
+        assert store.get(b"a") == b"bulk" and store.get(b"b") == b"old"
+        store.put(b"a", b"new")
+        assert store.get(b"a") == b"new" and pairs(store.read()) == {b"a": b"new", b"b": b"old"}
+        store.flush()
+        assert store.get(b"a") == b"new" and store.stats()["runs"] == 3
+        store.compact_all()
+        assert pairs(store.read()) == {b"a": b"new", b"b": b"old"}
+        assert store.get(b"zz") is None and store.get(b"aa") is None and store.stats()["bloom_negatives"] >= 1
+
+
+def test_snapshot_outlives_a_merge(spark, tmp_path):
+    with Store.open(spark, str(tmp_path / "s"), Options(auto_compaction=False)) as store:
+        store.write(frame(spark, [(b"a", b"1", 1), (b"b", b"1", 1)]))
+        store.put(b"b", b"2")
+        with store.snapshot() as then:
+            read = then.read()
+            store.put(b"c", b"3")
+            store.delete(b"a")
+            store.flush()
+            store.compact_all()
+            assert pairs(read) == pairs(then.read()) == {b"a": b"1", b"b": b"2"}
+            assert pairs(then.scan(b"b")) == {b"b": b"2"}
+        assert pairs(store.read()) == {b"b": b"2", b"c": b"3"}
+        assert len(os.listdir(tmp_path / "s" / "runs")) == 1
+
+
+def test_reads_and_puts_go_on_during_a_merge(spark, tmp_path, monkeypatch):
+    from tidemark import store as module
+
+    entered, leave, real = threading.Event(), threading.Event(), module.merge
+
+    def slow(*args, **how):
+        entered.set()
+        assert leave.wait(60)
+        return real(*args, **how)
+
+    with Store.open(spark, str(tmp_path / "s"), Options(auto_compaction=False)) as store:
+        for i in range(3):
+            store.write(frame(spark, [(b"k", b"%d" % i, 1)]))
+        monkeypatch.setattr(module, "merge", slow)
+        merging = threading.Thread(target=store.compact_all)
+        merging.start()
+        assert entered.wait(60)
+        store.put(b"x", b"1")
+        assert store.get(b"k") == b"2" and store.get(b"x") == b"1" and pairs(store.read()) == {b"k": b"2", b"x": b"1"}
+        store.flush()
+        store.write(frame(spark, [(b"k", b"newer", 1)]))
+        assert merging.is_alive()
+        leave.set()
+        merging.join()
+        assert pairs(store.read()) == {b"k": b"newer", b"x": b"1"} and len(store.runs) == 3
+
+
+def test_failed_merge_is_told(spark, tmp_path, monkeypatch):
+    from tidemark import store as module
+
+    store = Store.open(spark, str(tmp_path / "s"), Options(compaction_min_runs=2, auto_compaction=False))
+    for i in range(2):
+        store.write(frame(spark, [(b"k", b"%d" % i, 1)]))
+    monkeypatch.setattr(module, "merge", lambda *_, **__: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        store.compact_all()
+    store.put(b"still", b"there")  # the caller's failure alone
+    store.close()
+    with Store.open(spark, str(tmp_path / "s"), Options(compaction_min_runs=2)) as again:
+        again.await_compactions()
+        with pytest.raises(StoreFailed):
+            again.put(b"a", b"1")
+        assert again.get(b"k") == b"1" and again.get(b"still") == b"there"
+
+
+def test_many_threads_on_one_store(spark, tmp_path):
+    """Writers of their own keys, readers who must never see a key go back, and flushes and merges at once."""
+    with Store.open(spark, str(tmp_path / "s"), Options(memtable_bytes=4_000, compaction_min_runs=2, sync_writes=False)) as store:
+        stop, wrong, writers = threading.Event(), [], 6
+
+        def write(t):
+            for i in range(400):
+                store.put(b"w%d-%02d" % (t, i % 20), b"%06d" % i)
+
+        def read(seed):
+            r, seen = random.Random(seed), {}
+            while not stop.is_set():
+                key = b"w%d-%02d" % (r.randrange(writers), r.randrange(20))
+                got = store.get(key)
+                if got is not None and got < seen.get(key, b""):
+                    wrong.append((key, seen[key], got))
+                seen[key] = max(seen.get(key, b""), got or b"")
+
+        def scan():
+            while not stop.is_set():
+                with store.scan() as rows:
+                    keys = [k for k, _ in rows]
+                if keys != sorted(set(keys)):
+                    wrong.append("order")
+
+        pool = [threading.Thread(target=write, args=(t,)) for t in range(writers)]
+        others = [threading.Thread(target=read, args=(i,)) for i in range(2)] + [threading.Thread(target=scan)]
+        for t in pool + others:
+            t.start()
+        for t in pool:
+            t.join()
+        stop.set()
+        for t in others:
+            t.join()
+        store.flush()
+        store.await_compactions()
+        assert not wrong
+        assert dict(store.scan()) == {b"w%d-%02d" % (t, k): b"%06d" % (380 + k) for t in range(writers) for k in range(20)}
+        stats = store.stats()
+        assert stats["writes"] == 400 * writers and stats["flushes"] >= 1 and stats["compactions"] >= 1
+
+
+CRASHING = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+from tidemark.store import Options, Store
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+store = Store.open(spark, sys.argv[2], Options(memtable_bytes=3_000, compaction_min_runs=2))
+n = int(sys.argv[3])
+print("open", flush=True)
+while True:
+    key = b"k%03d" % (n % 97)
+    if n % 7 == 3:
+        store.delete(key)
+    else:
+        store.put(key, b"%08d" % n)
+    print(n, flush=True)
+    n += 1
+"""
+
+
+def test_killed_writers_lose_nothing_acknowledged(spark, tmp_path):
+    """A process that writes, flushes and merges is killed several times; each time all it had acknowledged is there."""
+    root, path, n = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), str(tmp_path / "s"), 0
+    for i in range(3):
+        child = subprocess.Popen([sys.executable, "-c", CRASHING, root, path, str(n)], stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, text=True, start_new_session=True)
+        assert child.stdout.readline() == "open\n"
+        timer = threading.Timer(1.5 + 1.3 * i, lambda child=child: os.killpg(child.pid, signal.SIGKILL))
+        timer.start()
+        acked = [int(x) for x in child.stdout if x.endswith("\n")]
+        child.wait()
+        n = acked[-1] + 1
+    want = {}
+    for i in range(n):
+        want[b"k%03d" % (i % 97)] = None if i % 7 == 3 else b"%08d" % i
+    with Store.open(spark, path) as store:
+        got = dict(store.scan())
+        next_ = b"k%03d" % (n % 97)  # the write that was under way may be there or not
+        for key in set(want) | set(got):
+            if key != next_:
+                assert got.get(key) == want.get(key)
+
+
+def test_two_appends_to_a_log_folder_stay(spark, tmp_path):
+    oplog.register(spark)
+    path = str(tmp_path / "log")
+    for i in range(3):
+        frame(spark, [(b"k%d" % i, b"v", 1), (b"same", b"%d" % i, 2)]).coalesce(1).select("key", "value", "is_delete").write.format(oplog.FORMAT).mode("append").save(path)
+    rows = spark.read.format(oplog.FORMAT).load(path).orderBy("segment", "position").collect()
+    assert [bytes(r["key"]) for r in rows] == [b"k0", b"same", b"k1", b"same", b"k2", b"same"]
+    assert [bytes(r["value"]) for r in rows if r["key"] == b"same"] == [b"0", b"1", b"2"]
+    frame(spark, [(b"z", None, 1)]).select("key", "value", "is_delete").write.format(oplog.FORMAT).mode("overwrite").save(path)
+    assert [(bytes(r["key"]), r["is_delete"]) for r in spark.read.format(oplog.FORMAT).load(path).collect()] == [(b"z", True)]
+    with pytest.raises(Exception, match="null"):
+        spark.createDataFrame([(None, None, True)], "key binary, value binary, is_delete boolean").write.format(oplog.FORMAT).mode("append").save(path)
+    assert spark.read.format(oplog.FORMAT).load(path).count() == 1
+
+
+def test_scan_ranges(spark):
+    ops = random_ops(600, 23)
+    r, bounds = random.Random(24), []
+    for i in range(40):
+        low, high = sorted((b"k%03d" % r.randrange(90), b"k%03d" % r.randrange(90)))
+        bounds.append((i, low, high))
+    bounds += [(40, None, b"k010"), (41, b"k075", None), (42, None, None), (43, b"k020", b"k020")]
+    table = spark.createDataFrame([(i, None if a is None else bytearray(a), None if b is None else bytearray(b)) for i, a, b in bounds], "range_id int, low binary, high binary")
+    want = {(i, k) for i, a, b in bounds for k in model(ops) if (a is None or k >= a) and (b is None or k < b)}
+    for most in (1, 4, 1000):
+        got = [(x["range_id"], bytes(x["key"])) for x in reads.scan_ranges(frame(spark, ops), table, most).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert reads.scan_ranges(frame(spark, ops), table.limit(0)).count() == 0

@@ -13,11 +13,15 @@ import threading
 import zlib
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from tidemark.sources.files import filesystem, force, names
+
 FORMAT = "tidemark_oplog"
 SUFFIX = ".log"
+#: A file of the sink is ended once it is so large.
+SEGMENT_BYTES = 128 << 20
 _HEAD = struct.Struct(">II")
 _BODY = struct.Struct(">BI")
 PUT, DELETE = 1, 2
@@ -115,76 +119,101 @@ class _File(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    """One task per file: a record can only be found from the one before it. Writers keep files to SEGMENT_BYTES, about."""
+
+    def __init__(self, uri: str):
+        self.uri = uri
 
     def partitions(self) -> list[_File]:
-        if os.path.isfile(self.path):
-            return [_File(self.path)]
-        return [_File(os.path.join(self.path, n)) for n in sorted(os.listdir(self.path)) if n.endswith(SUFFIX)]
+        return [_File(p) for p in names(self.uri, SUFFIX)]
 
     def read(self, partition: _File):
         import pyarrow as pa
 
-        name, held = os.path.basename(partition.path), []
+        name, held, size = os.path.basename(partition.path), [], 0
 
         def batch():
             at, keys, values = zip(*held, strict=True)
             return pa.RecordBatch.from_arrays([pa.array([name] * len(held)), pa.array(at, pa.int64()), pa.array(keys, pa.binary()), pa.array(values, pa.binary()), pa.array([v is None for v in values])], names=["segment", "position", "key", "value", "is_delete"])
 
-        with open(partition.path, "rb") as f:
+        files, _ = filesystem(self.uri)
+        with files.open_input_stream(partition.path) as f:
             for record in records(f):
                 held.append(record)
-                if len(held) == 8192:
+                size += len(record[1]) + len(record[2] or b"")
+                if len(held) == 8192 or size >= 4 << 20:
                     yield batch()
                     held.clear()
+                    size = 0
         if held:
             yield batch()
 
 
 class _Written(WriterCommitMessage):
-    def __init__(self, temporary: str, final: str):
-        self.temporary, self.final = temporary, final
+    def __init__(self, temporary: list[str]):
+        self.temporary = temporary
 
 
-class _Writer(DataSourceWriter):
-    """Each task writes a file of its own, which gets its name when the whole job commits."""
+class _Writer(DataSourceArrowWriter):
+    """Each task writes files of its own, and the whole job's take their names when it commits: the job's number, which is
+    one above those there, the task's and the file's. So segments order as jobs were committed, and as tasks within one."""
 
-    def __init__(self, path: str, overwrite: bool):
-        self.path, self.overwrite = path, overwrite
+    def __init__(self, uri: str, overwrite: bool):
+        self.uri, self.overwrite = uri, overwrite
 
-    def write(self, rows) -> _Written:
+    def write(self, batches) -> _Written:
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        os.makedirs(self.path, exist_ok=True)
-        final = os.path.join(self.path, f"{context.partitionId():06d}{SUFFIX}")
-        temporary = f"{final}.{context.taskAttemptId()}.tmp"
-        with open(temporary, "wb") as f:
-            for row in rows:
-                f.write(frame(bytes(row["key"]), None if row["is_delete"] else bytes(row["value"])))
-            f.flush()
-            os.fsync(f.fileno())
-        return _Written(temporary, final)
+        files, path = filesystem(self.uri)
+        files.create_dir(path, recursive=True)
+        made, f, size = [], None, 0
+        for batch in batches:
+            keys, values, gone = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("key", "value", "is_delete"))
+            for start in range(0, len(keys), 1024):
+                part = slice(start, start + 1024)
+                if any(k is None or g is None or (v is None and not g) for k, v, g in zip(keys[part], values[part], gone[part], strict=True)):
+                    raise ValueError("null key or is_delete, or null value of a put")
+                data = b"".join([frame(k, None if g else v) for k, v, g in zip(keys[part], values[part], gone[part], strict=True)])
+                if f is None:
+                    made.append(f"{path}/.{context.partitionId():06d}-{len(made):06d}.{context.taskAttemptId()}.tmp")
+                    f, size = files.open_output_stream(made[-1]), 0
+                f.write(data)
+                size += len(data)
+                if size >= SEGMENT_BYTES:
+                    f.close()
+                    f = None
+        if f is not None:
+            f.close()
+        for m in made:
+            force(files, m)
+        return _Written(made)
 
     def commit(self, messages) -> None:
-        names = {m.final for m in messages if m}
-        if self.overwrite:
-            for n in os.listdir(self.path):
-                if n.endswith(SUFFIX) and os.path.join(self.path, n) not in names:
-                    os.remove(os.path.join(self.path, n))
+        files, path = filesystem(self.uri)
+        there = names(self.uri, SUFFIX)
+        job = 1 + max((int(n) for p in there if (n := os.path.basename(p).split("-")[0].removesuffix(SUFFIX)).isdigit()), default=0)
         for m in messages:
-            if m:
-                os.replace(m.temporary, m.final)
+            for t in m.temporary if m else ():
+                files.move(t, f"{path}/{job:06d}-{os.path.basename(t).split('.')[1]}{SUFFIX}")
+        if self.overwrite:
+            for p in there:
+                files.delete_file(p)
+        if there or any(m and m.temporary for m in messages):
+            force(files, path)
 
     def abort(self, messages) -> None:
+        from pyarrow import fs
+
+        files, _ = filesystem(self.uri)
         for m in messages:
-            if m and os.path.exists(m.temporary):
-                os.remove(m.temporary)
+            for t in m.temporary if m else ():
+                if files.get_file_info(t).type != fs.FileType.NotFound:
+                    files.delete_file(t)
 
 
 class OpLogSource(DataSource):
-    """spark.read.format(FORMAT).load(path): segment, position, key, value, is_delete; path is a file or folder that executors can open."""
+    """spark.read.format(FORMAT).load(path): segment, position, key, value, is_delete; path is a file or folder, of any file system that pyarrow opens by URI."""
 
     @classmethod
     def name(cls) -> str:
@@ -194,10 +223,10 @@ class OpLogSource(DataSource):
         return "segment string, position bigint, key binary, value binary, is_delete boolean"
 
     def reader(self, schema: StructType) -> _Reader:
-        return _Reader(self.options["path"].removeprefix("file://"))
+        return _Reader(self.options["path"])
 
     def writer(self, schema: StructType, overwrite: bool) -> _Writer:
-        return _Writer(self.options["path"].removeprefix("file://"), overwrite)
+        return _Writer(self.options["path"], overwrite)
 
 
 def register(spark) -> None:

@@ -6,7 +6,7 @@ import math
 import os
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.manifest import Run
@@ -69,9 +69,10 @@ def _force(path: str) -> None:
 
 def write_run(rows: DataFrame, path: str, run_id: int, options: dict[str, str], sync: bool) -> Run | None:
     """Write rows (one per key, ranged and sorted by key) as a run; None, and nothing left, if there are none."""
-    spark = rows.sparkSession
-    rows.select(*OPS.names).write.options(**options).parquet(path)
-    got = spark.read.schema(OPS).parquet(path).agg(F.count("*").alias("n"), F.hex(F.min("key")).alias("low"), F.hex(F.max("key")).alias("high")).first()
+    spark, seen = rows.sparkSession, Observation()
+    counted = rows.select(*OPS.names).observe(seen, F.count(F.lit(1)).alias("n"), F.hex(F.min("key")).alias("low"), F.hex(F.max("key")).alias("high"))
+    counted.write.options(**options).parquet(path)
+    got = seen.get
     if got["n"] == 0:
         delete(spark, path)
         return None

@@ -10,5 +10,9 @@ from pyspark.sql import SparkSession
 
 def scratch_dir(spark: SparkSession, what: str) -> str:
     """Below spark.checkpoint.dir; where that is unset (one machine) below the temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.gettempdir()
     return f"{base.rstrip('/')}/tidemark/{what}-{uuid.uuid4().hex}"
