@@ -19,4 +19,5 @@ QUERIES = {
 
 ORACLES = {
     "op4_exact_top_k": topk.ORACLE,
+    "op9_chat_formatting": chat.ORACLE,
 }
