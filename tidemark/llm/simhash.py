@@ -22,7 +22,13 @@ from tidemark.llm.components import connected_components
 SEED = 42
 SHINGLE_WORDS = 4
 DISTANCE = 4
+#: Pieces of a fingerprint, at least; more where blocks would otherwise hold over BLOCK fingerprints by chance.
 PIECES = 6
+BLOCK = 512
+#: Parts that a class's fingerprints are dealt to when they are given its name.
+SALTS = 16
+#: Rows of a table of large classes that may be broadcast, about 2 MB; they are counted.
+MOST_BROADCAST = 100_000
 HOT_BLOCK = 8192
 _AT_ONCE = 1 << 15
 
@@ -65,6 +71,14 @@ def fingerprints(docs: DataFrame, keys: list[str], text: str = "text") -> DataFr
     return rows.mapInArrow(run, schema)
 
 
+def pieces_for(n: int, distance: int = DISTANCE) -> int:
+    """Fewest pieces for n different fingerprints, so that the work follows n: blocks that meet by chance stay small at every size."""
+    pieces = max(PIECES, distance + 2)
+    while pieces < 16 and n >> (64 * (pieces - distance) // pieces) > BLOCK:
+        pieces += 1
+    return pieces
+
+
 def blocks(fps: DataFrame, pieces: int = PIECES, distance: int = DISTANCE) -> DataFrame:
     """(fp) to (block, fp): one row per combination of pieces - distance pieces."""
     cuts = [round(64 * i / pieces) for i in range(pieces + 1)]
@@ -183,34 +197,39 @@ def _hot_links(hot: DataFrame, distance: int) -> DataFrame:
     return reached.select("fp", least.alias("hub")).where("hub is not null and fp != hub").select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct()
 
 
-def links(fps: DataFrame, distance: int = DISTANCE, pieces: int = PIECES, hot_block: int = HOT_BLOCK) -> DataFrame:
+def links(fps: DataFrame, distance: int = DISTANCE, pieces: int | None = None, hot_block: int = HOT_BLOCK) -> DataFrame:
     """Distinct fingerprints (fp) to (u, v) links with the components of all pairs at `distance` bits or fewer."""
-    rows = blocks(fps, pieces, distance)
+    rows = blocks(fps, pieces or pieces_for(fps.count(), distance), distance)
     hot = checkpoint(rows.groupBy("block").count().where(F.col("count") > hot_block).select("block"))
     if hot.isEmpty():
         return _cold_links(rows, distance)
     return _cold_links(rows.join(hot, "block", "left_anti"), distance).unionByName(_hot_links(rows.join(hot, "block", "left_semi"), distance))
 
 
-def classes(fps: DataFrame, distance: int = DISTANCE, pieces: int = PIECES, hot_block: int = HOT_BLOCK) -> DataFrame:
+def classes(fps: DataFrame, distance: int = DISTANCE, pieces: int | None = None, hot_block: int = HOT_BLOCK) -> DataFrame:
     """(fp, root) for every distinct fingerprint of fps; root is the least fingerprint reachable over links."""
     each = fps.select("fp").distinct()
     found = connected_components(links(each, distance, pieces, hot_block))
     return each.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, pieces: int = PIECES, hot_block: int = HOT_BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, pieces: int | None = None, hot_block: int = HOT_BLOCK) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) for every row of docs.
 
     Null text counts as empty, fingerprint zero, linked like any other. A row with a null doc_id joins its class but
     does not name it; a class of such rows only has a null component_id. Repeated rows each get their row; an empty
-    table gives none. Other columns are not read.
+    table gives none. Texts of any length are hashed whole. Other columns are not read.
     """
     each = checkpoint(fingerprints(docs, ["doc_id"]))
     per = each.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = checkpoint(per.join(classes(per, distance, pieces, hot_block), "fp"))
-    named = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = roots.join(named, "root").select("fp", "component_id")
+    named = roots.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    # a class may hold a third of all fingerprints: its name goes to several tasks
+    named = named.select("root", "component_id", F.explode(F.when(F.col("n") > SALTS, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))).alias("salt"), "n")
+    big = named.where("salt = 0").select("root", F.lit(True).alias("big"))
+    few = F.broadcast if big.count() <= MOST_BROADCAST else lambda df: df
+    salted = roots.join(few(big), "root", "left").withColumn("salt", F.when(F.col("big"), F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).otherwise(F.lit(-1)))
+    of_fp = salted.join(named.drop("n"), ["root", "salt"]).select("fp", "component_id")
     return each.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
