@@ -22,7 +22,7 @@ _LONG = (-(1 << 63), (1 << 63) - 1)
 def valid(vectors: DataFrame) -> DataFrame:
     """vec_id and whole components (as doubles) of the rows that take part."""
     ok = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return vectors.where(ok).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return vectors.where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
 
 
 def _tiles(rows: DataFrame) -> DataFrame:
@@ -128,11 +128,13 @@ def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     rows equal in vec_id and vector are one query, and no query meets a row of its own id. Scores beyond 64 bits
     stay at its ends. Other columns are not read; an empty table gives no rows.
 
-    Every candidate tile goes to one lane, every query tile to all lanes, so tiles meet by an ordinary join on the lane.
+    Every candidate tile goes to one lane, dealt in turn, every query tile to all lanes, so tiles meet by an ordinary join on the lane.
     """
     rows = valid(vectors)
     lanes = parallelism(vectors.sparkSession)
-    candidates = _tiles(rows).select(F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int").alias("lane"), "dim", F.col("ids").alias("c_ids"), F.col("parts").alias("c_parts"))
+    parts = rows.rdd.getNumPartitions()
+    dealt = F.pmod(F.col("no") * parts + F.spark_partition_id(), F.lit(lanes)).cast("int")
+    candidates = _tiles(rows).select(dealt.alias("lane"), "dim", F.col("ids").alias("c_ids"), F.col("parts").alias("c_parts"))
     asked = checkpoint(rows.where(is_query).distinct())
     queries = checkpoint(_tiles(asked.coalesce(-(-asked.count() // TILE_ROWS) or 1)).withColumn("part", F.spark_partition_id().cast("long")))
     spread = queries.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
