@@ -162,16 +162,20 @@ def media(docs: DataFrame) -> DataFrame:
                 )
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary, clips binary, segments array<struct<start_s: double, end_s: double>>")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary, clips binary, segments array<struct<start_s: double, end_s: double>>")
 
 
 def digest(text: bytes | None) -> tuple:
-    """What features() returns of one text, all of it from the stored bytes."""
+    """What features() returns of one text, all of it from the stored bytes: samples, tensors and the time spans of clips and segments."""
     stored = to_wav(pad(text or b""))
     payload, mels, spans = analyse(stored)
-    clips = to_clips(mels)
-    tensors = clips["tensor"].combine_chunks().to_numpy_ndarray()
-    h = hashlib.sha256(np.ascontiguousarray(tensors).astype("<i2").tobytes())
+    clips = from_ipc(to_ipc(to_clips(mels)))
+    h = hashlib.sha256()
+    for batch in clips.to_batches():
+        h.update(np.ascontiguousarray(batch.column("tensor").to_numpy_ndarray()).astype("<i2"))
+        for c in ("start_s", "end_s"):
+            h.update(batch.column(c).to_numpy().astype("<f8"))
+        h.update(batch.column("frames").to_numpy().astype("<i4"))
     h.update(struct.pack(f"<{2 * len(spans)}d", *(t for s in spans for t in s)))
     feature = f"frames={len(mels)};clips={clips.num_rows};segments={len(spans)};sha256={h.hexdigest()}"
     return len(text or b""), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
@@ -191,7 +195,7 @@ def features(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([m[i] for m in made], kind) for i, (_, kind, _) in enumerate(kinds))], names=["doc_id", *(k for k, _, _ in kinds)])
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{k} {t}" for k, _, t in kinds))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{k} {t}" for k, _, t in kinds))
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
