@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from tidemark.llm.chunks import Chunks, flat_bytes, gather
-from tidemark.llm.common import bounded, sha256, small_batches, table
+from tidemark.llm.common import bounded, sha256, small_batches, table, trim
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 WIDTHS = (6, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 96, 128, 192, 256)
@@ -260,6 +260,11 @@ class Tokenizer:
         """
         return self.chunks.numbers(texts)
 
+    def rest(self) -> None:
+        """Forget chunks, at the end of a task."""
+        self.chunks.clear()
+        trim()
+
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         ids, at = self.encode(pa.array([t.encode() for t in texts], pa.large_binary()))
         return [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)]
@@ -335,6 +340,7 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
                 [batch.column(0), pa.array(np.diff(at)), pa.array(map(sha256, coder.decimals(ids, at)), pa.string()), pa.array(map(sha256, coder.spell(ids, at)), pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        coder.rest()
 
     rows = bounded(docs).select("doc_id", F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, rows.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string"))

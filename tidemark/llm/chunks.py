@@ -65,9 +65,9 @@ class Chunks:
 
     def __init__(self, learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most_bytes: int = MOST_BYTES):
         self.learn, self.most = learn, most_bytes
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.place: dict[bytes, int] = {}
         self.values, self.first, self.n, self.held = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
@@ -77,7 +77,7 @@ class Chunks:
         cost = lambda at: sum(len(keys[i]) + _COST for i in at)
         kept = [i for i in fresh if often[i]]
         if kept and self.held + cost(kept) > self.most:
-            self._clear()
+            self.clear()
             fresh, kept = range(len(keys)), np.flatnonzero(often).tolist()
         out = np.fromiter((self.place.get(k, -1) for k in keys), np.int64, len(keys))
         if len(fresh):

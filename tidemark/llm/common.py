@@ -13,10 +13,12 @@ _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder that driver and executors share: spark.checkpoint.dir, or where it is unset (tests) a temporary one."""
+    """URI of the folder that driver and executors share: spark.checkpoint.dir, or where it is unset and all is one process (tests) a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-shared-")
@@ -99,6 +101,18 @@ def publish(files, temporary: str, final: str) -> None:
         files.move(temporary, final)
 
 
+def trim() -> None:
+    """Give memory that is no longer used back to the system: a worker waits long for its next task, with others beside it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if release:
+        release(0)
+
+
 def small_arrays(texts, most: int = 1 << 20):
     """Slices of an Arrow array of strings or bytes, of about `most` bytes each; one long text may be more. Python objects are then made of a slice at a time."""
     import numpy as np
@@ -116,3 +130,4 @@ def small_batches(batches, column: int, most: int = 1 << 20):
     for batch in batches:
         for a, part in small_arrays(batch.column(column), most):
             yield batch.slice(a, len(part))
+    trim()

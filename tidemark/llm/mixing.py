@@ -16,11 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 from pyspark.sql.window import Window
 
 from tidemark.llm.chunks import gather
-from tidemark.llm.common import bounded, checkpoint, small_arrays, table
+from tidemark.llm.common import bounded, checkpoint, table
 from tidemark.llm.simhash import marked_rows
 
 SEED = 20_240_229
@@ -37,10 +36,9 @@ FILE_WORDS = 32_000_000
 MOST_BROADCAST = 100_000
 
 
-@F.arrow_udf(LongType())
-def n_words(texts: pa.Array) -> pa.Array:
+def n_words(text: str):
     """Runs of characters other than ASCII white space; null text has none."""
-    return pa.array([len(t.split()) if t else 0 for _, part in small_arrays(texts.cast(pa.binary())) for t in part.to_pylist()], pa.int64())
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> list[Fraction]:

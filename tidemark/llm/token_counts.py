@@ -44,9 +44,10 @@ def write_flat(docs: DataFrame, out: str, path: str | None = None) -> None:
                 yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(np.arange(at, at + n)), batch.column(0)], names=["file", "ordinal", "doc_id"])
                 at += n
         publish(files, temporary, f"{root}/tokens/{name}")
+        coder.rest()
 
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    rows.mapInArrow(run, "file string, ordinal long, doc_id long").write.parquet(f"{out}/order")
+    rows.mapInArrow(run, f"file string, ordinal long, doc_id {rows.schema['doc_id'].dataType.simpleString()}").write.parquet(f"{out}/order")
 
 
 def scan_block(tokens: np.ndarray, end: int = END) -> tuple[int, int, int, np.ndarray]:

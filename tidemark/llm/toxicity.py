@@ -146,7 +146,7 @@ class Lexicon(Chunks):
 
     def numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > self._MOST:
-            self._clear()
+            self.clear()
             self.kind, self.weight, self.known = np.zeros(0, np.int32), np.zeros(0), {}
         return super().numbers(texts)
 

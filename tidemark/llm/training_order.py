@@ -255,6 +255,7 @@ def token_streams(docs: DataFrame, path: str | None = None) -> DataFrame:
             ids = np.insert(ids, at[1:], token_counts.END).astype(token_counts.DTYPE)
             ends = (at + np.arange(len(at))) * ids.itemsize
             yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(ids)]).cast(pa.binary())], names=["ids"])
+        coder.rest()
 
     return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "ids binary")
 
