@@ -27,6 +27,8 @@ WEIGHTS = (1, 2, 3)
 CAP = 3
 SHARDS = 64
 BLOCK_WORDS = 1024
+#: Where documents are taken whole: what the ends of blocks add or leave out is less the longer blocks are.
+WHOLE_BLOCK_WORDS = 8192
 ROUNDS = 6
 #: numpy draws from fewer than 10 ** 9 items; more are dealt by several trees whose shares are added up.
 MOST_DRAWS = 500_000_000
@@ -262,7 +264,7 @@ def mix(docs: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS, s
     return rows.select("doc_id", "size", "source_size", "target", "taken", F.size("draws").cast("long").alias("n_spans"), F.array_join(held.cast("array<string>"), ",").alias("shards"))
 
 
-def apply(docs: DataFrame, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+def apply(docs: DataFrame, shards: int = SHARDS, block_words: int = WHOLE_BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """docs as mixed, whole: a row for each time that the word in a document's middle is drawn. Columns and texts as given.
 
     A source's words so miss its quota by parts of the documents at the ends of drawn blocks only. Rows come out in
