@@ -56,19 +56,19 @@ class PairTable:
         return ((key.view(np.uint64) * _MULTIPLIER) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The ranks, NONE where there is no such pair or an id is negative (padding)."""
+        """The ranks, NONE where there is no such pair or an id is -1 (padding), for such keys are negative and not in the table."""
         key = (left.astype(np.int64) << 32) | right.astype(np.int64)
         slot = self._slot(key)
         found = self.keys[slot]
         out = np.where(found == key, self.ranks[slot], NONE)
-        todo = np.flatnonzero((found != key) & (found >= 0) & (left >= 0) & (right >= 0))
+        todo = np.flatnonzero((found != key) & (found >= 0) & (key >= 0))
         while len(todo):
             slot[todo] = (slot[todo] + 1) & self.mask
             found = self.keys[slot[todo]]
             hit = found == key[todo]
             out[todo[hit]] = self.ranks[slot[todo[hit]]]
             todo = todo[~hit & (found >= 0)]
-        return np.where((left >= 0) & (right >= 0), out, NONE)
+        return out
 
 
 #: Kinds of bytes: letters, digits, and signs but the apostrophe, which may begin an ending of its own; 0 for the rest.
@@ -151,10 +151,10 @@ class Tokenizer:
                     break
             each = np.arange(len(rows))
             ids[each, at] = best
-            behind = np.arange(ids.shape[1] - 1)
-            pick = behind + (behind > at[:, None])
-            ids = np.take_along_axis(ids, pick, axis=1)
-            ranks = np.take_along_axis(ranks, pick, axis=1)
+            kept = np.ones(ids.shape, bool)
+            kept[each, at + 1] = False
+            ids = ids[kept].reshape(len(rows), -1)
+            ranks = ranks[kept].reshape(len(rows), -1)
             after = np.minimum(at + 1, ids.shape[1] - 1)
             ranks[each, at] = np.where(at + 1 < ids.shape[1], self.pairs.find(best, ids[each, after]), NONE)
             prior = np.flatnonzero(at > 0)

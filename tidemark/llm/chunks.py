@@ -8,6 +8,7 @@ Python sees each different chunk of a batch once, however often it comes.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -73,21 +74,23 @@ class Chunks:
 
     def _places(self, keys: list[bytes], often: np.ndarray) -> np.ndarray:
         """Where the numbers of different chunks are. Only chunks that come often are kept for later calls."""
-        fresh = [i for i, k in enumerate(keys) if k not in self.place]
-        cost = lambda at: sum(len(keys[i]) + _COST for i in at)
-        kept = [i for i in fresh if often[i]]
-        if kept and self.held + cost(kept) > self.most:
+        out = np.fromiter(map(self.place.get, keys, repeat(-1)), np.int64, len(keys))
+        fresh = np.flatnonzero(out < 0)
+        if not len(fresh):
+            return out
+        kept = fresh[often[fresh]]
+        cost = sum(map(len, map(keys.__getitem__, kept.tolist()))) + _COST * len(kept)
+        if len(kept) and self.held + cost > self.most:
             self.clear()
-            fresh, kept = range(len(keys)), np.flatnonzero(often).tolist()
-        out = np.fromiter((self.place.get(k, -1) for k in keys), np.int64, len(keys))
-        if len(fresh):
-            order = [*kept, *(i for i in fresh if not often[i])]
-            values, n = self.learn([keys[i] for i in order])
-            at = len(self.place)
-            out[order] = np.arange(at, at + len(order))
-            self.place.update((keys[i], at + j) for j, i in enumerate(kept))
-            self.first = np.concatenate((self.first, len(self.values) + np.cumsum(n) - n))
-            self.n, self.values, self.held = np.concatenate((self.n, n)), np.concatenate((self.values, values)), self.held + cost(kept)
+            fresh, kept = np.arange(len(keys)), np.flatnonzero(often)
+            cost = sum(map(len, map(keys.__getitem__, kept.tolist()))) + _COST * len(kept)
+        order = np.concatenate((kept, fresh[~often[fresh]]))
+        values, n = self.learn([keys[i] for i in order.tolist()])
+        at = len(self.place)
+        out[order] = np.arange(at, at + len(order))
+        self.place.update(zip(map(keys.__getitem__, kept.tolist()), range(at, at + len(kept)), strict=True))
+        self.first = np.concatenate((self.first, len(self.values) + np.cumsum(n) - n))
+        self.n, self.values, self.held = np.concatenate((self.n, n)), np.concatenate((self.values, values)), self.held + cost
         return out
 
     def _forget(self) -> None:
