@@ -211,6 +211,25 @@ def test_near_duplicate_stage_takes_similarity_of_four_fifths(spark):
     assert len(set(roots)) < simhash.keep_one(docs).count()
 
 
+@pytest.mark.parametrize("tile", [100, 1 << 20])
+def test_blocks_are_searched_in_tiles(spark, monkeypatch, tile):
+    monkeypatch.setattr(similar, "TILE_HASHES", tile)
+    r = random.Random(14)
+    words = [[b"%d" % r.randrange(999) for _ in range(60)] for _ in range(6)]
+    texts = [b" ".join(w[:k] + [b"x%d" % i] * (60 - k)) for i, w in enumerate(words * 2) for k in (60, 58, 57, 30)]
+    sets = similar.shingle_sets(pa.array(texts, pa.binary()))[1]
+    rows = [(b, i, i, sets[i].view(np.int64).tolist()) for b in (1, 2) for i in range(len(texts)) if b == 1 or i % 4 < 2] + [(3, 0, 0, [7])]
+    found = {tuple(x) for x in similar._searched(spark.createDataFrame(rows, "block long, fp long, root long, hashes array<bigint>")).collect()}
+    parts = {x["b"] for x in similar._tiles(spark.createDataFrame(rows, "block long, fp long, root long, hashes array<bigint>")).collect()}
+    assert (len(parts) > 2) == (tile == 100)
+    root = list(range(len(texts)))
+    for a, b in found:
+        assert len(np.intersect1d(sets[a], sets[b])) * 5 >= 4 * len(np.union1d(sets[a], sets[b]))
+        root = [root[b] if x == root[a] else x for x in root]
+    roots = brute_similar([t.decode() for t in texts])
+    assert len({*zip(root, roots, strict=True)}) == len(set(root)) == len(set(roots))
+
+
 def test_block_is_searched_for_every_verified_pair():
     r = random.Random(13)
     words = [[b"%d" % r.randrange(999) for _ in range(60)] for _ in range(8)]
