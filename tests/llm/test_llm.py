@@ -211,6 +211,66 @@ def test_near_duplicate_stage_takes_similarity_of_four_fifths(spark):
     assert len(set(roots)) < simhash.keep_one(docs).count()
 
 
+def test_sketch_is_a_simhash_of_the_shingles():
+    r = np.random.default_rng(15)
+    for n in (1, 2, 9, 300, 5000):
+        found = np.unique(r.integers(0, 1 << 64, n, np.uint64))
+        drawn = found[:, None] ^ similar._DRAWN
+        for m in similar._MIXED:
+            drawn = drawn * m
+            drawn = drawn ^ drawn >> np.uint64(32)
+        ones = np.array([[(drawn[:, j] >> np.uint64(63 - b) & np.uint64(1)).sum() for b in range(64)] for j in range(similar.SKETCH_WORDS)]).ravel()
+        assert np.unpackbits(np.frombuffer(similar.sketch(found), np.uint8)).tolist() == (2 * ones > len(found)).astype(int).tolist()
+    assert similar.sketch(found[:0]) is None
+
+
+@pytest.mark.parametrize("part", [30, 1 << 18])
+def test_candidates_are_close_texts_of_simhash_blocks(spark, monkeypatch, part):
+    monkeypatch.setattr(similar, "PART", part)
+    r = random.Random(16)
+    words = [[b"%d" % r.randrange(999) for _ in range(80)] for _ in range(30)]
+    texts = [b" ".join(w[:k] + [b"y%d" % i] * (80 - k)) for i, w in enumerate(words) for k in (80, 75, 68, 40)]
+    bits = [np.unpackbits(np.frombuffer(similar.sketch(s), np.uint8)) for s in similar.shingle_sets(pa.array(texts, pa.binary()))[1]]
+    got = {(x["fp"], x["hub"]) for x in similar._members(spark.createDataFrame([(i, bytearray(np.packbits(b).tobytes())) for i, b in enumerate(bits)], "fp long, sketch binary")).collect()}
+    want, tables = set(), similar.tables_of(similar.KEY_BITS)
+    for t in tables:
+        for i in range(len(texts)):
+            reached = [i]
+            for j in reached:
+                reached += [k for k in range(len(texts)) if k not in reached and (bits[j][t] == bits[k][t]).all() and (bits[j] != bits[k])[: 64 * similar.SCREEN_WORDS].sum() <= similar.SCREEN_BITS]
+            if min(reached) != i:
+                want.add((i, min(reached)))
+    assert got == want and len(want) >= 60
+
+
+@pytest.mark.parametrize("small", [1, 100])
+def test_clusters_of_small_and_large_blocks_are_the_same(small):
+    r = np.random.default_rng(17)
+    entries = np.zeros(300, similar._ENTRY)
+    entries["key"], entries["fp"] = np.sort(r.integers(0, 8, 300)), np.arange(300)
+    near = r.integers(0, 1 << 64, (20, similar.SCREEN_WORDS), np.uint64)[r.integers(0, 20, 300)]
+    for i in range(similar.SCREEN_WORDS):
+        entries[f"w{i}"] = near[:, i] ^ (np.uint64(1) << r.integers(0, 64, 300).astype(np.uint64))
+    places, least = similar.clusters(entries, small)
+    same = [[j for j in range(300) if entries["key"][j] == entries["key"][i] and (near[j] == near[i]).all()] for i in range(300)]
+    assert dict(zip(places.tolist(), least.tolist(), strict=True)) == {i: min(x) for i, x in enumerate(same) if len(x) > 1}
+
+
+def test_group_of_near_copies_is_searched_once(spark, monkeypatch):
+    r = random.Random(18)
+    base, seen, search = [b"%d" % r.randrange(9999) for _ in range(300)], [], similar._searched
+    texts = []
+    for i in range(60):
+        made = list(base)
+        for at in r.sample(range(0, 295, 6), 7):
+            made[at] = b"e%d.%d" % (i, at)
+        texts.append(b" ".join(made))
+    monkeypatch.setattr(similar, "_searched", lambda rows: seen.append(sorted(x["fp"] for x in rows.select("fp").collect())) or search(rows))
+    kept = similar.keep_one(docs_of(spark, [t.decode() for t in texts]))
+    assert sorted(x["doc_id"] for x in kept.collect()) == sorted(set(brute_similar([t.decode() for t in texts])))
+    assert seen and len(seen[0]) == len(set(seen[0]))
+
+
 @pytest.mark.parametrize("tile", [100, 1 << 20])
 def test_blocks_are_searched_in_tiles(spark, monkeypatch, tile):
     monkeypatch.setattr(similar, "TILE_HASHES", tile)

@@ -1,35 +1,53 @@
-"""Near copies by similarity: bands of MinHash find candidates, the Jaccard similarity of whole shingle sets verifies them.
+"""Near copies by similarity: SimHash blocks find close texts, the Jaccard similarity of whole shingle sets verifies them.
 
-Texts of equal words are one from the start. Texts that share a band meet in a block. First every text of a block is
-held against the block's least one; blocks that this leaves in more than one class are then searched whole, in tiles
-of bounded size, so the classes are those of all verified pairs that meet, while large groups of near copies stay linear.
+It is the method of simhash.py at the width that a similarity of 0.8 asks for: a sketch has SKETCH_WORDS times 64 bits.
+A table takes some bits of it as a key, texts of equal keys meet in a block, and the Hamming distance over the first
+SCREEN_WORDS words says which of them are close. The tables are read as packed chunks, a task holding one part of one.
+
+Texts of equal words are one from the start. Close texts of a block, and what is close to them in turn, are a cluster.
+First every text of a cluster is held against the cluster's least one. Clusters of all tables that share a text make a
+group; groups that this leaves in more than one class are then searched whole, once, in tiles of bounded size. So the
+classes are those of all verified pairs that meet, while large groups of near copies stay linear.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
 from tidemark.llm.chunks import flat_bytes
-from tidemark.llm.common import bounded, checkpoint, free_name, parallelism, small_batches
+from tidemark.llm.common import bounded, checkpoint, free_name, parallelism, small_batches, trim
 from tidemark.llm.components import connected_components
-from tidemark.llm.simhash import SEED, keep_first, marked_rows
+from tidemark.llm.simhash import MOST_BROADCAST, SEED, keep_first, marked_rows
 
 SHINGLE_WORDS = 5
 #: Least similarity of a pair, as a fraction, so that the comparison is exact.
 SIMILARITY = (4, 5)
-#: A pair at similarity s shares none of the bands with probability (1 - s ** BAND_ROWS) ** BANDS: 0.0001 at 0.8.
-BANDS, BAND_ROWS = 30, 6
+SKETCH_WORDS = 16
+#: Bits of a sketch that differ, as a part, between two equally long sets at that similarity; pairs of unequal length differ in fewer.
+APART = math.acos(2 * SIMILARITY[0] / sum(SIMILARITY)) / math.pi
+#: Chance that a pair at that similarity meets in no table.
+MISSED = 1e-5
+#: Bits of a table's key, at least; more where blocks would otherwise hold over BLOCK texts by chance.
+KEY_BITS, BLOCK = 12, 1024
+#: Words of the sketch that are held against each other, and the bits that may differ: 29 do at that similarity, 96 of unrelated texts.
+SCREEN_WORDS, SCREEN_BITS = 3, 56
+#: Texts of a part of a table, about.
+PART = 1 << 18
 #: Shingles of a part of a block that is searched; a task holds two parts, however many texts the block has.
 TILE_HASHES = 1 << 20
-_AT_ONCE = 1 << 10
+_AT_ONCE = 1 << 12
+_SPREAD_ROWS = 1 << 13
 _TEXT_BYTES = 2 << 20
-_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), np.uint64)
-_XOR, _ODD = _DRAWN[0], _DRAWN[1] | np.uint64(1)
+_DRAWN = np.random.default_rng(SEED).integers(0, 1 << 64, (1, SKETCH_WORDS), np.uint64)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_MIXED = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: A row of a table: the key, the text's name and the words that are compared.
+_ENTRY = np.dtype([("key", "<u4"), ("fp", "<i8"), *((f"w{i}", "<u8") for i in range(SCREEN_WORDS))])
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -85,18 +103,50 @@ def shingle_sets(texts: pa.Array, shingle_words: int = SHINGLE_WORDS) -> tuple[n
     return whole, sets
 
 
-def bands(found: np.ndarray) -> np.ndarray:
-    """A key for each band of the set's MinHash signature; an empty set has none."""
+def _ones(words: np.ndarray) -> np.ndarray:
+    """How many rows have each bit, of an array of words; full adders leave a few rows of each power of two to be counted."""
+    ones, power = np.zeros(64 * words.shape[1], np.int64), 1
+    while True:
+        carried = []
+        while len(words) > 8:
+            k = len(words) // 3
+            a, b, c = words[:k], words[k : 2 * k], words[2 * k : 3 * k]
+            odd = a ^ b
+            carried.append(a & b | odd & c)
+            words = np.concatenate((odd ^ c, words[3 * k :]))
+        ones += np.unpackbits(np.ascontiguousarray(words, ">u8").view(np.uint8), axis=1).sum(axis=0, dtype=np.uint8) * np.int64(power)
+        if not carried:
+            return ones
+        words, power = np.concatenate(carried), 2 * power
+
+
+def sketch(found: np.ndarray) -> bytes | None:
+    """The set's SimHash, big-endian: a bit is 1 if it is set in over half of the hashes drawn from the shingles. An empty set has none."""
     if not len(found):
-        return np.zeros(0, np.int64)
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+        return None
+    ones = np.zeros(64 * SKETCH_WORDS, np.int64)
     for at in range(0, len(found), _AT_ONCE):
-        np.minimum(least, ((found[at : at + _AT_ONCE] ^ _XOR) * _ODD).min(axis=1), out=least)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for part in least.reshape(BANDS, BAND_ROWS).T:
-        key = (key ^ part) * _MULTIPLIER
-        key ^= key >> np.uint64(29)
-    return key.view(np.int64)
+        drawn = found[at : at + _AT_ONCE, None] ^ _DRAWN
+        for m in _MIXED:
+            drawn *= m
+            drawn ^= drawn >> np.uint64(32)
+        ones += _ones(drawn)
+    return np.packbits(ones * 2 > len(found)).tobytes()
+
+
+def key_bits_for(n: int) -> int:
+    """Fewest bits of a key for n different texts, so that the work follows n."""
+    bits = KEY_BITS
+    while bits < 32 and n >> bits > BLOCK:
+        bits += 1
+    return bits
+
+
+def tables_of(bits: int) -> np.ndarray:
+    """Places in the sketch of the bits of each table's key; as long as they last, no two tables share one."""
+    n = math.ceil(math.log(MISSED) / math.log1p(-((1 - APART) ** bits)))
+    draw, each = np.random.default_rng(SEED), 64 * SKETCH_WORDS // bits
+    return np.concatenate([draw.permutation(64 * SKETCH_WORDS)[: each * bits].reshape(each, bits) for _ in range(-(-n // each))])[:n]
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -105,14 +155,14 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _hashed(rows: DataFrame) -> DataFrame:
-    """doc_id, row and text to doc_id, row, `fp` (a hash of the words) and `bands`."""
+    """doc_id, row and text to doc_id, row, `fp` (a hash of the words) and `sketch`."""
 
     def run(batches):
         for batch in small_batches(batches, 2, _TEXT_BYTES):
             whole, sets = shingle_sets(batch.column(2))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(whole.view(np.int64)), _lists([bands(s) for s in sets])], names=["doc_id", "row", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(whole.view(np.int64)), pa.array([sketch(s) for s in sets], pa.binary())], names=["doc_id", "row", "fp", "sketch"])
 
-    return rows.mapInArrow(run, rows.select("doc_id", "row").schema.add("fp", "long").add("bands", ArrayType(LongType())))
+    return rows.mapInArrow(run, rows.select("doc_id", "row").schema.add("fp", "long").add("sketch", "binary"))
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -125,14 +175,128 @@ def _sets(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "fp long, hashes array<bigint>")
 
 
-def _members(rows: DataFrame) -> DataFrame:
-    """Different (block, fp) to block, fp and hub, the block's least fp, of blocks that hold two or more.
+def _spread(sketches: DataFrame, bits: int, parts: int) -> DataFrame:
+    """fp and sketch to tab, part and `packed`, the entries of some texts in that part of that table."""
+
+    def chunks(fp, words):
+        lit = np.unpackbits(words, axis=1)
+        entry = np.zeros(len(fp), _ENTRY)
+        entry["fp"] = fp
+        for i in range(SCREEN_WORDS):
+            entry[f"w{i}"] = words[:, 8 * i : 8 * i + 8].copy().view(np.uint64)[:, 0]
+        for t, places in enumerate(tables_of(bits)):
+            entry["key"] = lit[:, places] @ (1 << np.arange(bits, dtype=np.uint32))
+            part = entry["key"] % parts
+            order = np.argsort(part, kind="stable")
+            found, at = np.unique(part[order], return_index=True)
+            packed = [x.tobytes() for x in np.split(entry[order], at[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), t, np.int32)), pa.array(found.astype(np.int32)), pa.array(packed, pa.binary())], names=["tab", "part", "packed"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= _SPREAD_ROWS:
+                yield from chunks(*of(held))
+                held, n = [], 0
+        if n:
+            yield from chunks(*of(held))
+
+    def of(held):
+        every = pa.Table.from_batches(held).combine_chunks()
+        words = b"".join(every.column(1).to_pylist())
+        return every.column(0).to_numpy(), np.frombuffer(words, np.uint8).reshape(-1, 8 * SKETCH_WORDS)
+
+    return sketches.mapInArrow(run, "tab int, part int, packed binary")
 
-    Hubs are combined before their shuffle and kept, so the join that hands them out has two plain sides, and a block
-    of very many texts is split among tasks.
+
+def _near(entry: np.ndarray, other: np.ndarray) -> np.ndarray:
+    apart = sum(np.bitwise_count(entry[f"w{i}"] ^ other[f"w{i}"]) for i in range(SCREEN_WORDS))
+    return apart <= SCREEN_BITS
+
+
+def _joined(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Of n places, the least that each is connected to by the links."""
+    least = np.arange(n)
+    while True:
+        before = least.copy()
+        np.minimum.at(least, u, before[v])
+        np.minimum.at(least, v, before[u])
+        least = least[least]
+        if (least == before).all():
+            return least
+
+
+def clusters(entries: np.ndarray, small: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a part of a table sorted by key: places that are close to another of their block, and the least place of each one's cluster.
+
+    Blocks of up to `small` texts are compared at all offsets at once; in larger ones what is close to a text is taken out
+    with it, so that a large group of near copies costs in proportion.
     """
-    hubs = rows.groupBy("block").agg(F.min("fp").alias("hub"), F.max("fp").alias("most")).where("hub != most")
-    return rows.join(checkpoint(hubs.select("block", "hub")), "block").select("block", "fp", "hub")
+    n, key = len(entries), entries["key"]
+    edges = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1, [n]))
+    sizes = np.diff(edges)
+    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    at = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= small), sizes))
+    rows = {f: entries[f][at] for f in entries.dtype.names}
+    step = 1
+    while step < len(at):
+        same = rows["key"][:-step] == rows["key"][step:]
+        if not same.any():
+            break
+        apart = sum(np.bitwise_count(rows[f"w{i}"][:-step] ^ rows[f"w{i}"][step:]) for i in range(SCREEN_WORDS))
+        near = np.flatnonzero(same & (apart <= SCREEN_BITS))
+        us.append(at[near])
+        vs.append(at[near + step])
+        step += 1
+    for k in np.flatnonzero(sizes > small).tolist():
+        left = np.arange(edges[k], edges[k + 1])
+        while len(left):
+            queue, left = [left[0]], left[1:]
+            while queue and len(left):
+                j = queue.pop()
+                close = _near(entries[left], entries[j])
+                if close.any():
+                    us.append(np.full(np.count_nonzero(close), j))
+                    vs.append(left[close])
+                    queue.extend(left[close].tolist())
+                    left = left[~close]
+    u, v = np.concatenate(us), np.concatenate(vs)
+    least = _joined(n, u, v)
+    places = np.union1d(u, v)
+    return places, least[places]
+
+
+def _members(sketches: DataFrame) -> DataFrame:
+    """Different fp with their sketches to different (fp, hub): the texts of all tables' clusters of two or more, but the least, and the least."""
+    spark = sketches.sparkSession
+    texts = sketches.count()
+    bits, parts = key_bits_for(texts), max(1, texts // PART)
+    small = max(256, 2 * texts >> bits)
+
+    def found(held):
+        entries = np.concatenate(held)
+        entries = entries[np.lexsort((entries["fp"], entries["key"]))]  # the least fp of a cluster comes first
+        places, least = clusters(entries, small)
+        places, least = places[places != least], least[places != least]
+        return pa.RecordBatch.from_arrays([pa.array(entries["fp"][places]), pa.array(entries["fp"][least])], names=["fp", "hub"])
+
+    def run(batches):
+        now, held = None, []
+        for batch in batches:
+            for *key, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    if held:
+                        yield found(held)
+                    now, held = key, []
+                held.append(np.frombuffer(packed, _ENTRY))
+        if held:
+            yield found(held)
+        trim()
+
+    rows = _spread(sketches, bits, parts).repartition(parallelism(spark), "tab", "part").sortWithinPartitions("tab", "part")
+    return rows.mapInArrow(run, "fp long, hub long").distinct()
 
 
 def links_of_block(root: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -209,7 +373,7 @@ def _searched(rows: DataFrame) -> DataFrame:
 
 def _star_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     p, q = SIMILARITY
-    pairs = members.where("fp != hub").select(F.col("fp").alias("u"), F.col("hub").alias("v")).distinct()
+    pairs = members.select(F.col("fp").alias("u"), F.col("hub").alias("v"))
     pairs = pairs.join(sets.select(F.col("fp").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("hashes").alias("b")), "v")
     both = F.size(F.array_intersect("a", "b"))
     return pairs.select("u", "v", both.alias("both"), (F.size("a") + F.size("b")).alias("sizes")).where(f"{q} * both >= {p} * (sizes - both)").select("u", "v")
@@ -219,10 +383,11 @@ def classes(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, root) of texts with a verified link to another; root is the least fp reachable."""
     stars = checkpoint(_star_links(members, sets))
     found = checkpoint(connected_components(stars))
-    rooted = members.select("block", "fp").join(found.withColumnRenamed("node", "fp"), "fp", "left").select("block", "fp", F.coalesce("root", "fp").alias("root"))
-    of_block = rooted.groupBy("block").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("h"), F.bit_xor(F.xxhash64(F.lit(1), "fp")).alias("h2"), F.min("root").alias("least"), F.max("root").alias("most"))
-    # a block of two has been held against its least; blocks of the same texts are searched once
-    open_ = checkpoint(of_block.where("least != most and n > 2").groupBy("n", "h", "h2").agg(F.min("block").alias("block")).select("block"))
+    groups = connected_components(members.select(F.col("fp").alias("u"), F.col("hub").alias("v"))).select(F.col("root").alias("block"), F.col("node").alias("fp"))
+    rooted = checkpoint(groups.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("block", "fp", F.coalesce("root", "fp").alias("root")))
+    of_block = rooted.groupBy("block").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
+    # a group of two has been held against its least
+    open_ = checkpoint(of_block.where("least != most and n > 2").select("block"))
     if open_.isEmpty():
         return found
     more = _searched(rooted.join(open_, "block", "left_semi").join(sets, "fp"))
@@ -239,8 +404,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     hashed = checkpoint(_hashed(marked.select("doc_id", F.col(mark).alias("row"), F.col("text").cast("binary").alias("text"))))
     each = hashed.groupBy("fp", "doc_id", "row").agg(F.count("*").alias("n"))
     per = checkpoint(each.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "n")).alias("first")))
-    members = checkpoint(_members(hashed.select(F.explode("bands").alias("block"), "fp").distinct()))
-    named = per.join(members.select("fp").distinct(), "fp").select(F.col("fp").alias(fp := free_name(marked, "tm_fp")), F.col("first.doc_id").alias("of_id"), F.col("first.row").alias("of_row"))
+    sketches = checkpoint(hashed.where("sketch is not null").select("fp", "sketch").dropDuplicates(["fp"]))
+    members = checkpoint(_members(sketches))
+    named = per.join(members.select("fp").union(members.select("hub")).distinct(), "fp").select(F.col("fp").alias(fp := free_name(marked, "tm_fp")), F.col("first.doc_id").alias("of_id"), F.col("first.row").alias("of_row"))
     texts = marked.select(F.col("doc_id").alias("at_id"), F.col(mark).alias("at_row"), F.col("text").cast("binary").alias("text"))
     texts = texts.join(named, F.col("at_id").eqNullSafe(F.col("of_id")) & (F.col("at_row") == F.col("of_row")))
     sets = checkpoint(_sets(texts.select(F.col(fp).alias("fp"), "text")).dropDuplicates(["fp"]))
