@@ -290,6 +290,55 @@ def test_blocks_are_searched_in_tiles(spark, monkeypatch, tile):
     assert len({*zip(root, roots, strict=True)}) == len(set(root)) == len(set(roots))
 
 
+def near_texts(r, groups, n, edits):
+    """Groups of n texts of 400 words with some of them edited, most of them near copies of each other's or, with many edits, few."""
+    texts = []
+    for g in range(groups):
+        base = ["w%d" % r.randrange(9999) for _ in range(400)]
+        for i in range(n):
+            made = list(base)
+            for at in r.sample(range(0, 395, 6), edits):
+                made[at] = "e%d.%d.%d" % (g, i, at)
+            texts.append(" ".join(made))
+    return texts
+
+
+def test_shingles_of_near_copies_are_sent_a_few_times(spark):
+    docs = docs_of(spark, texts := near_texts(random.Random(19), 1, 300, 9)).localCheckpoint()
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before, most = written(), spark.conf.get(key := "spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "-1")
+    try:
+        assert similar.keep_one(docs).count() == len(set(brute_similar(texts)))
+    finally:
+        spark.conf.set(key, most)
+    # twice about, not once for each text that one is held against in some table
+    assert 0 < written() - before < 4 * 8 * 396 * len(texts)
+
+
+@pytest.mark.parametrize("edits", [3, 9])
+def test_groups_of_many_parts_have_the_same_classes(spark, monkeypatch, edits):
+    texts = near_texts(random.Random(20), 3, 20, edits)
+    seen, large = [], similar._large_classes
+    monkeypatch.setattr(similar, "TILE_HASHES", 2000)
+    monkeypatch.setattr(similar, "_large_classes", lambda rows: seen.append(rows.count()) or large(rows))
+    kept = similar.keep_one(docs_of(spark, [*texts, "some other text", *TEXTS]))
+    roots = brute_similar([*texts, "some other text", *TEXTS])
+    assert sorted(x["doc_id"] for x in kept.collect()) == sorted(set(roots))
+    assert seen == [60]
+
+
+def test_classes_of_small_groups_are_named_by_their_task(spark):
+    links = [(b * 100 + i + 1, b * 100 + i) for b in range(1, 9) for i in range(b)]
+    frame = spark.createDataFrame(random.Random(21).sample(links, len(links)), "u long, v long").coalesce(1)
+    assert {tuple(x) for x in similar._named(frame).collect()} == {(b * 100 + i, b * 100) for b in range(1, 9) for i in range(1, b + 1)}
+    assert similar._named(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_block_is_searched_for_every_verified_pair():
     r = random.Random(13)
     words = [[b"%d" % r.randrange(999) for _ in range(60)] for _ in range(8)]

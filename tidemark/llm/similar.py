@@ -5,9 +5,10 @@ A table takes some bits of it as a key, texts of equal keys meet in a block, and
 SCREEN_WORDS words says which of them are close. The tables are read as packed chunks, a task holding one part of one.
 
 Texts of equal words are one from the start. Close texts of a block, and what is close to them in turn, are a cluster.
-First every text of a cluster is held against the cluster's least one. Clusters of all tables that share a text make a
-group; groups that this leaves in more than one class are then searched whole, once, in tiles of bounded size. So the
-classes are those of all verified pairs that meet, while large groups of near copies stay linear.
+Clusters of all tables that share a text make a group. Up to there only names travel; then the shingles of each text go
+to its group, which is searched whole, once: by one task if it is of bounded size, else every text is first held against
+the group's least one, and what this leaves in more than one class is searched in tiles of bounded size. So the classes
+are those of all verified pairs that meet, while large groups of near copies stay linear.
 """
 
 from __future__ import annotations
@@ -166,13 +167,13 @@ def _hashed(rows: DataFrame) -> DataFrame:
 
 
 def _sets(rows: DataFrame) -> DataFrame:
-    """fp and text to fp and `hashes`, the shingles."""
+    """block, fp and text to block, fp and `hashes`, the shingles."""
 
     def run(batches):
-        for batch in small_batches(batches, 1, _TEXT_BYTES):
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(shingle_sets(batch.column(1))[1])], names=["fp", "hashes"])
+        for batch in small_batches(batches, 2, _TEXT_BYTES):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], _lists(shingle_sets(batch.column(2))[1])], names=["block", "fp", "hashes"])
 
-    return rows.mapInArrow(run, "fp long, hashes array<bigint>")
+    return rows.mapInArrow(run, "block long, fp long, hashes array<bigint>")
 
 
 def _spread(sketches: DataFrame, bits: int, parts: int) -> DataFrame:
@@ -333,15 +334,20 @@ def links_of_block(root: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int,
 def _tiles(rows: DataFrame) -> DataFrame:
     """block, fp, root, hashes to the same with `a` and `b`, so that any two texts of a block meet in a tile (block, a, b).
 
-    A block is cut by a hash into parts of about TILE_HASHES shingles; a tile holds two of them, or all of a small block.
+    A block is cut by a hash into parts of about TILE_HASHES shingles (`parts` of them, counted here if rows doesn't say);
+    a tile holds two of them, or all of a small block.
     """
-    parts = checkpoint(rows.groupBy("block").agg(F.ceil(F.sum(F.size("hashes")) / TILE_HASHES).alias("parts")))
-    cut = rows.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("fp"), "parts"))
+    cut = rows if "parts" in rows.columns else rows.join(checkpoint(_parts(rows)), "block")
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("fp"), "parts"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
     met = cut.select("block", "fp", "root", "hashes", "parts", "part", other).where("other != part or parts = 1")
     return met.select("block", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"), "fp", "root", "hashes")
 
 
+def _parts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("block").agg(F.ceil(F.sum(F.size("hashes")) / TILE_HASHES).alias("parts"))
+
+
 def _searched(rows: DataFrame) -> DataFrame:
     """block, fp, root, hashes to links (u, v); a task holds one tile of a block at a time."""
 
@@ -371,27 +377,50 @@ def _searched(rows: DataFrame) -> DataFrame:
     return _tiles(rows).repartition(n, "block", "a", "b").sortWithinPartitions("block", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def _star_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _named(links: DataFrame) -> DataFrame:
+    """(u, v) to (node, root) of what the links of each partition connect, root the least; roots themselves are left out.
+
+    A task holds its links, fewer than the texts whose shingles came to it.
+    """
+
+    def run(batches):
+        held = [(batch.column(0).to_numpy(), batch.column(1).to_numpy()) for batch in batches if len(batch)]
+        if held:
+            u, v = (np.concatenate(x) for x in zip(*held, strict=True))
+            nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+            least = nodes[_joined(len(nodes), at[: len(u)], at[len(u) :])]
+            other = least != nodes
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[other]), pa.array(least[other])], names=["node", "root"])
+
+    return links.mapInArrow(run, "node long, root long")
+
+
+def _large_classes(rows: DataFrame) -> DataFrame:
+    """block, fp, hashes, parts of groups of many parts to (node, root). Each text is held against the group's least one; groups that this leaves open are searched."""
     p, q = SIMILARITY
-    pairs = members.select(F.col("fp").alias("u"), F.col("hub").alias("v"))
-    pairs = pairs.join(sets.select(F.col("fp").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("hashes").alias("b")), "v")
-    both = F.size(F.array_intersect("a", "b"))
-    return pairs.select("u", "v", both.alias("both"), (F.size("a") + F.size("b")).alias("sizes")).where(f"{q} * both >= {p} * (sizes - both)").select("u", "v")
-
-
-def classes(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, root) of texts with a verified link to another; root is the least fp reachable."""
-    stars = checkpoint(_star_links(members, sets))
-    found = checkpoint(connected_components(stars))
-    groups = connected_components(members.select(F.col("fp").alias("u"), F.col("hub").alias("v"))).select(F.col("root").alias("block"), F.col("node").alias("fp"))
-    rooted = checkpoint(groups.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("block", "fp", F.coalesce("root", "fp").alias("root")))
-    of_block = rooted.groupBy("block").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
-    # a group of two has been held against its least
-    open_ = checkpoint(of_block.where("least != most and n > 2").select("block"))
+    least = rows.where("fp = block").select("block", F.col("hashes").alias("first"))
+    both = F.size(F.array_intersect("hashes", "first"))
+    near = q * both >= p * (F.size("hashes") + F.size("first") - both)
+    rooted = checkpoint(rows.join(least, "block").select("block", "fp", F.when(near, F.col("block")).otherwise(F.col("fp")).alias("root")))
+    open_ = checkpoint(rooted.groupBy("block").agg(F.max(F.col("root") != F.col("block")).alias("open")).where("open").select("block"))
+    stars = rooted.where("fp != block and root = block")
+    found = stars.join(open_, "block", "left_anti").select(F.col("fp").alias("node"), "root")
     if open_.isEmpty():
         return found
-    more = _searched(rooted.join(open_, "block", "left_semi").join(sets, "fp"))
-    return connected_components(stars.unionByName(more))
+    links = _searched(rows.join(open_, "block", "left_semi").join(rooted.select("fp", "root"), "fp"))
+    return found.unionByName(connected_components(stars.join(open_, "block", "left_semi").select(F.col("fp").alias("u"), F.col("root").alias("v")).unionByName(links)))
+
+
+def classes(sets: DataFrame) -> DataFrame:
+    """block, fp, hashes of groups to (node, root) of texts that verified links connect with another; root is the least fp reachable.
+
+    A group of one part is one task's, and so are its classes. Only larger ones need components of links of many tasks.
+    """
+    large = checkpoint(_parts(sets).where("parts > 1"))
+    none = large.isEmpty()
+    small = sets if none else sets.join(large, "block", "left_anti")
+    found = _named(_searched(small.select("block", "fp", F.col("fp").alias("root"), "hashes", F.lit(1).cast("long").alias("parts"))))
+    return checkpoint(found if none else found.unionByName(_large_classes(sets.join(large, "block"))))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -405,11 +434,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     each = hashed.groupBy("fp", "doc_id", "row").agg(F.count("*").alias("n"))
     per = checkpoint(each.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "n")).alias("first")))
     sketches = checkpoint(hashed.where("sketch is not null").select("fp", "sketch").dropDuplicates(["fp"]))
-    members = checkpoint(_members(sketches))
-    named = per.join(members.select("fp").union(members.select("hub")).distinct(), "fp").select(F.col("fp").alias(fp := free_name(marked, "tm_fp")), F.col("first.doc_id").alias("of_id"), F.col("first.row").alias("of_row"))
+    groups = connected_components(_members(sketches).select(F.col("fp").alias("u"), F.col("hub").alias("v"))).select(F.col("node").alias("fp"), F.col("root").alias("block"))
+    named = per.join(groups, "fp").select("block", F.col("fp").alias(fp := free_name(marked, "tm_fp")), F.col("first.doc_id").alias("of_id"), F.col("first.row").alias("of_row"))
     texts = marked.select(F.col("doc_id").alias("at_id"), F.col(mark).alias("at_row"), F.col("text").cast("binary").alias("text"))
     texts = texts.join(named, F.col("at_id").eqNullSafe(F.col("of_id")) & (F.col("at_row") == F.col("of_row")))
-    sets = checkpoint(_sets(texts.select(F.col(fp).alias("fp"), "text")).dropDuplicates(["fp"]))
-    found = classes(members, sets)
+    found = classes(checkpoint(_sets(texts.select("block", F.col(fp).alias("fp"), "text")).dropDuplicates(["fp"])))
     rooted = per.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "first")
     return keep_first(docs, marked, mark, rooted)
